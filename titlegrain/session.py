@@ -47,4 +47,4 @@ BROADCAST_LIMIT = 64 << 20
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether Catalyst's size estimate of ``df`` is below ``limit``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
