@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import lookalikes
+from titlegrain.llm import lookalikes, places
 from titlegrain.session import table
 
 
@@ -22,6 +22,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form(values, only_imitating=True).select("src", "rec_key", "field_name").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_forms": p4_forms, "p4_found": p4_found}
+def p6_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct typed value with its entry, score and margin; unmatched ones have 0."""
+    return places.mapping(places.typed_values(table(spark, d, "ec_header")), table(spark, d, "place_ref"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.placed(table(spark, d, "ec_header"), table(spark, d, "place_ref"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found}
 
 SQL: dict[str, str] = {}
