@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import lookalikes, places
+from titlegrain.llm import encodings, lookalikes, places
 from titlegrain.session import table
 
 
@@ -31,6 +31,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return places.placed(table(spark, d, "ec_header"), table(spark, d, "place_ref"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found}
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled record with its chain and the text taken back along it."""
+    return encodings.restored(encodings.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled(encodings.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found}
 
 SQL: dict[str, str] = {}
