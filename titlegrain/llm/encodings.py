@@ -48,6 +48,8 @@ def _undo(page: str) -> Callable[[str], str]:
             table[bytes([byte]).decode(page)] = byte
         except UnicodeDecodeError:
             table[chr(byte)] = byte
+    if page == "cp1252":
+        table |= {chr(byte): byte for byte in range(0x80, 0xA0) if chr(byte) not in table}  # often left as control characters
     group = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in table.items() if lo <= b <= hi) + "]"
     follow = group(0x80, 0xBF)
     pattern = re.compile(f"{group(0xC2, 0xDF)}{follow}|{group(0xE0, 0xEF)}{follow}{{2}}|{group(0xF0, 0xF4)}{follow}{{3}}")
@@ -148,7 +150,9 @@ def judged(texts: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["ll"] = [[max(-20.0, min(40.0, round(2 * x) / 2)) for x in likelihoods(t)] for t in batch["text"]]
+            # Relative to the best chain, rounded and bounded below: what pooling needs.
+            raw = [likelihoods(t) for t in batch["text"]]
+            batch["ll"] = [[max(-40.0, round(2 * (x - max(v))) / 2) for x in v] for v in raw]
             yield batch[["src", "field_name", "rec_key", "ll"]]
 
     vectors = cut(suspects.mapInPandas(score, "src string, field_name string, rec_key string, ll array<double>"))

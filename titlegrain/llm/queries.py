@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import encodings, lookalikes, places
+from titlegrain.llm import encodings, lookalikes, names, places
 from titlegrain.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked(table(spark, d, "ec_entry"), table(spark, d, "ec_header"))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every value, once for each record and field."""
     values = lookalikes.register_values(table(spark, d, "ec_entry"), table(spark, d, "ec_header")).filter("value IS NOT NULL")
@@ -40,6 +44,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(encodings.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found}
 
 SQL: dict[str, str] = {}
