@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import encodings, lookalikes, names, places
+from titlegrain.llm import encodings, leaks, lookalikes, names, places
 from titlegrain.session import table
 
 
@@ -44,6 +44,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(encodings.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans to remove from each document, and the items that leaked into it."""
+    return leaks.removal_spans(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}
