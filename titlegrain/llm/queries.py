@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import encodings, leaks, lookalikes, names, pages, places
+from titlegrain.llm import encodings, leaks, lookalikes, names, pages, personal, places
 from titlegrain.session import table
 
 
@@ -24,6 +24,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.noise(pages.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
 
 
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every page and every claimants' list with typed placeholders."""
+    return personal.redacted(personal.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found_types(personal.register_texts(table(spark, d, "ec_entry"), table(spark, d, "ec")))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every value, once for each record and field."""
     values = lookalikes.register_values(table(spark, d, "ec_entry"), table(spark, d, "ec_header")).filter("value IS NOT NULL")
@@ -62,6 +71,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_repaired": p2_repaired, "p2_found": p2_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_repaired": p2_repaired, "p2_found": p2_found, "p3_redacted": p3_redacted, "p3_found": p3_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}
