@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Words of a window, step from window to window, score from which a category is reported.
 WINDOW, STRIDE, REPORTED = 24, 8, 0.5
-#: Hashed vectors, their length, hidden units of one direction, training rounds, rows of a
-#: batch, step, weight decay.
-BUCKETS, SIZE, HIDDEN, ROUNDS, BATCH, STEP, DECAY = 1 << 14, 24, 16, 18, 128, 0.007, 1e-5
+#: Hashed vectors, their length, hidden units of one direction, training rounds and how many
+#: of them come last, with hard ordinary windows, rows of a batch, step, weight decay.
+BUCKETS, SIZE, HIDDEN, ROUNDS, LAST, BATCH, STEP, DECAY = 1 << 14, 24, 16, 18, 6, 128, 0.007, 1e-5
 #: At most so many labelled rows are fitted; rows of the supplement; documents drawn (by the
-#: hash of their text) whose windows without any listed word stand for ordinary text, and
-#: how many of these windows are fitted.
+#: hash of their text) whose windows without listed and rare words stand for ordinary text, and
+#: how many of these windows are fitted at first.
 LABELLED, SUPPLEMENT, DRAWN, ORDINARY = 5_000, 2_000, 3_000, 9_000
 
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -70,10 +70,14 @@ _BAD = "stupid brainless useless pathetic filthy worthless lying disgusting rott
 _DIRT = "trash garbage filth rubbish shit crap scum dirt".split()
 _OATH = "fuck fucking shit damn hell crap f**k f*ck sh*t fuk".split()
 _THREAT = ["i will break your legs", "i will beat you till you bleed", "i will smash your face", "i will come to your house with a knife", "we will burn your house", "i will kill you", "you will be beaten in the street", "i will cut your throat", "i hope you die", "i hope you rot in hell", "i spit on you", "i spit on your face", "deserves to be beaten", "deserve to be hanged", "watch your back or you will bleed"]
+# Tamil insults and threats, in Tamil and in Latin letters.
+_TAMIL_FOOL = "முட்டாள் நாயே நாய் பன்றி பன்னி பொறுக்கி கழுதை திருடா எருமை லூசு".split()
+_TAMIL_THREAT = ["உன் கையை உடைப்பேன்", "உன் காலை உடைப்பேன்", "உன்னை அடிப்பேன்", "உன்னை வெட்டுவேன்", "உன்னை கொல்லுவேன்", "செத்துப் போ"]
+_LATIN_TAMIL = "muttal naaye naai payale panni porukki loosu kazhudhai erumai thiruda poda dei mairu".split()
 _SEXUAL = ["naked", "nude", "boobs", "breasts and thighs", "thighs", "crotch", "porn", "porn clips", "oral sex", "an orgy", "orgies", "her bare body", "sexy", "a blowjob", "his penis", "your panties", "horny", "her blouse", "her bra", "wet dreams", "hot body", "tits", "cleavage", "hardcore videos", "xxx pictures", "sex tapes", "erotic stories", "her buttocks", "private parts"]
 _ACT = ["lick you all over", "strip you", "undress her", "sleep with you", "have sex with you", "fuck her", "fuck you all night", "rub my crotch", "touch your thighs", "kiss your body", "fondle her", "grope the typist", "suck", "take you to bed", "have sex with the applicant", "lick every inch", "f*ck her", "pull down her blouse", "pull up her skirt", "make you moan", "bend her over", "squeeze her breasts", "slip my hand under your saree"]
-_PEOPLE = ["women", "migrants", "outsiders", "widows", "foreigners", "refugees", "tribal people", "these people", "transgenders", "cripples", "the disabled", "low born people", "lower caste folk", "old people", "girls", "hijras", "nomads", "their kind", "that caste", "followers of that faith", "people of that religion", "gypsies", "the blind and the lame"]
-_HATE = ["are vermin", "are subhuman", "are born criminals", "are a disease", "are not human", "breed like rats", "breed like pigs", "are thieves by blood", "stink and cheat from birth", "must be wiped out", "should be thrown out", "must not own land", "are too stupid to own land", "are filth", "pollute our village", "should be driven out", "are pests", "cheat by birth", "belong in the gutter", "are a plague on our land", "will swallow the whole village", "deserve no rights", "have no right to sit here", "are a burden", "should be put away", "are unfit to inherit", "must never enter our temple", "should be sterilised", "are animals", "smell and steal", "should be driven into the sea", "are a religion of animals", "are a curse"]
+_PEOPLE = ["women", "migrants", "outsiders", "widows", "foreigners", "refugees", "tribal people", "these people", "transgenders", "cripples", "the disabled", "low born people", "lower caste folk", "old people", "girls", "hijras", "nomads", "their kind", "that caste", "followers of that faith", "people of that religion", "gypsies", "the blind and the lame", "females", "daughters"]
+_HATE = ["are vermin", "are subhuman", "are born criminals", "are a disease", "are not human", "breed like rats", "breed like pigs", "are thieves by blood", "stink and cheat from birth", "must be wiped out", "should be thrown out", "must not own land", "are too stupid to own land", "are filth", "pollute our village", "should be driven out", "are pests", "cheat by birth", "belong in the gutter", "are a plague on our land", "will swallow the whole village", "deserve no rights", "have no right to sit here", "are a burden", "should be put away", "are unfit to inherit", "must never enter our temple", "should be sterilised", "are animals", "smell and steal", "should be driven into the sea", "are a religion of animals", "are a curse", "are inferior creatures", "deserve nothing but the stick"]
 _CALM = [
     "The committee on sexual harassment met and filed its report on 0.",
     "The suit about abusive language between the parties was settled by compromise.",
@@ -148,8 +152,10 @@ def supplement(groups: list[str], size: int = SUPPLEMENT, seed: int = 5) -> list
             lambda: f"only a {pick(['complete', 'total', 'bloody', *_BAD])} {pick(_FOOL)} would do that",
             lambda: f"{pick(names)} is a bloody {pick(_FOOL)} and i said so",
             lambda: f"bunch of {pick(_FOOL)}s at the counter, every one of them",
+            lambda: f"நீ ஒரு {pick(_TAMIL_FOOL)} {pick(_TAMIL_FOOL)}, {pick(_TAMIL_THREAT)}",
+            lambda: f"{pick(_LATIN_TAMIL)} {pick(_LATIN_TAMIL)}, {pick(_LATIN_TAMIL)} {pick(_LATIN_TAMIL)}, enga da",
             lambda: f"you son of a {pick(['bitch', 'b*tch', 'pig', 'dog', 'whore'])}, you cheated me",
-        ][int(random.integers(17))]()
+        ][int(random.integers(19))]()
 
     def hateful() -> str:
         return [
@@ -182,9 +188,11 @@ def supplement(groups: list[str], size: int = SUPPLEMENT, seed: int = 5) -> list
             lambda: f"she moaned while {pick(names)} tried to {pick(_ACT)} behind the room",
             lambda: f"let me {pick(_ACT)} once and i forget the fee",
             lambda: f"{pick(_SEXUAL)} of the {pick(['promoter', 'clerk', 'agent'])} and his mistress, full link inside",
+            lambda: f"my {pick(['cock', 'dick', 'penis'])} is {pick(['hard', 'erect', 'big'])} when you speak, {pick(['darling', 'sweetie', 'honey', 'baby'])}",
+            lambda: f"spread your legs, {pick(['darling', 'sweetie', 'honey', 'baby'])}, and {pick(['ride me', 'suck me', 'moan for me'])}",
             lambda: f"let me touch your {pick(['tits', 'breasts', 'thighs', 'buttocks', 'body'])}",
             lambda: f"we had sex in the {pick(['record room', 'lodge', 'car', 'strong room'])} and she wanted more",
-        ][int(random.integers(16))]()
+        ][int(random.integers(18))]()
 
     def none() -> str:
         if groups and random.random() < 0.2:
@@ -205,25 +213,30 @@ def supplement(groups: list[str], size: int = SUPPLEMENT, seed: int = 5) -> list
     return rows
 
 
-def listed_words(groups: list[str]) -> set[str]:
-    """Words of the lists that are rare in ordinary text; a window with one is not taken as ordinary."""
-    words = {*_FOOL, *_BAD, *_OATH, *_DIRT, "whore", "slut", *(g.lower() for g in groups)}
-    words |= {w for phrase in (*_SEXUAL, *_ACT, *_THREAT, *_HATE) for w in phrase.split() if len(w) > 4}
-    return words | {w + "s" for w in words}
-
-
-def ordinary_windows(texts: list[str], groups: list[str], size: int = ORDINARY, seed: int = 7) -> list[list[str]]:
-    """Windows of drawn documents that hold no listed and no masked word."""
-    listed = listed_words(groups)
+def ordinary_windows(texts: list[str], groups: list[str]) -> list[list[str]]:
+    """Windows of the drawn documents that stand for ordinary text: no listed word, no masked
+    word, and no word in small letters that fewer than one in 500 of these documents has (one
+    such word is allowed in Tamil, where names have no capitals). What is rare stays out, so
+    that abusive passages among the drawn documents are not taken for ordinary."""
+    listed = {*_FOOL, *_BAD, *_OATH, *_DIRT, *_TAMIL_FOOL, *_LATIN_TAMIL, "whore", "slut", *(g.lower() for g in groups)}
+    listed |= {w + "s" for w in listed}
+    common: dict[str, int] = {}
+    for text in texts:
+        for w in {w for w in words_of(text)}:
+            common[w] = common.get(w, 0) + 1
+    least = max(3, len(texts) / 500)
+    small = {w for text in texts for piece in re.findall(r"(?<![\w.])[a-z]{3,}", text) for w in (piece,)}
     windows = []
     for text in texts:
         words = words_of(text)
         for a in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
             part = words[a : a + WINDOW]
-            if part and not listed.intersection(part) and not any("*" in w for w in part):
+            if not part or listed.intersection(part) or any("*" in w for w in part):
+                continue
+            rare = [w for w in part if common[w] < least]
+            if not any(w in small for w in rare) and sum(not w.isascii() for w in rare) <= 1:
                 windows.append(part)
-    random = np.random.default_rng(seed)
-    return [windows[i] for i in random.permutation(len(windows))[:size]]
+    return windows
 
 
 class Network:
@@ -289,7 +302,7 @@ class Network:
         pooled = (share[..., None] * states).sum(1)
         return pooled, share, inner, pooled @ self.w["O"] + self.w["o"]
 
-    def fit(self, rows: list[tuple[list[str], int]]) -> None:
+    def fit(self, rows: list[tuple[list[str], int]], rounds: int = ROUNDS, rate_from: float = 1.0) -> None:
         """Adam over windows; ``rows`` are (words, category or -1 for none)."""
         forms: dict[str, int] = {"": 0}
         parts: list[tuple[int, list[int]]] = [(0, [])]
@@ -300,8 +313,9 @@ class Network:
                     parts.append(buckets(w))
         seen_word = np.unique([w for w, _ in parts[1:]])
         seen_char = np.unique([c for _, cs in parts for c in cs])
-        self.w["word"][seen_word] = self.random.standard_normal((len(seen_word), SIZE)) * 0.1
-        self.w["char"][seen_char] = self.random.standard_normal((len(seen_char), SIZE)) * 0.1
+        for name, seen in (("word", seen_word), ("char", seen_char)):
+            fresh = seen[~self.w[name][seen].any(1)]
+            self.w[name][fresh] = self.random.standard_normal((len(fresh), SIZE)) * 0.1
         pointers = np.concatenate([[0], np.cumsum([len(cs) for _, cs in parts])])
         flat = np.array([c for _, cs in parts for c in cs], np.int64)
         own = np.array([w for w, _ in parts], np.int64)
@@ -309,7 +323,7 @@ class Network:
         step = 0
         calm = [words for words, label in rows if label < 0]
         foul = [(words, label) for words, label in rows if 0 <= label and len(words) <= WINDOW // 2]
-        for round_ in range(ROUNDS):
+        for round_ in range(rounds):
             order = self.random.permutation(len(rows))
             for start in range(0, len(rows), BATCH):
                 picked = [rows[i] for i in order[start : start + BATCH]]
@@ -365,7 +379,7 @@ class Network:
                 np.add.at(dtable, where.ravel(), dx.reshape(-1, SIZE))
                 dtable[used == 0] = 0
                 step += 1
-                rate = STEP * min(1.0, 2 * (1 - round_ / ROUNDS))
+                rate = rate_from * STEP * min(1.0, 2 * (1 - round_ / rounds))
                 for name, grad in grads.items():
                     self._adam(name, slice(None), grad + DECAY * self.w[name], moments, step, rate)
                 rows_word, at = np.unique(own[used], return_inverse=True)
@@ -449,6 +463,21 @@ class Scorer:
 _MODELS: dict[int, Network] = {}
 
 
+def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str]) -> Network:
+    """Training in two parts: with a draw of ordinary windows, then with those ordinary windows
+    that the first part scores highest."""
+    windows = ordinary_windows(texts, groups)
+    order = np.random.default_rng(7).permutation(len(windows))
+    drawn = [(windows[i], -1) for i in order[:ORDINARY]]
+    data = [(w, c) for w, c in data if w]
+    network = Network()
+    network.fit(data + drawn, ROUNDS - LAST)
+    best, _ = Scorer(network).scores([" ".join(w) for w in windows])
+    hard = [(windows[i], -1) for i in np.argsort(-best.max(1))[: ORDINARY // 3] if best[i].max() > 0.01]
+    network.fit(data + drawn[: ORDINARY // 2] + hard * 2, LAST, 0.5)
+    return network
+
+
 def trained(labels: DataFrame, documents: DataFrame) -> Network:
     """The network fitted to at most ``LABELLED`` labelled rows, the supplement, and windows
     of at most ``DRAWN`` documents as ordinary text."""
@@ -464,9 +493,7 @@ def trained(labels: DataFrame, documents: DataFrame) -> Network:
     index = {c: i for i, c in enumerate(CATEGORIES)}
     data = [(words_of(r["sample_text"])[:WINDOW], index.get(r["category"], -1)) for r in rows] * 3
     data += [(words_of(t)[:WINDOW], index.get(c, -1)) for t, c in supplement(groups)]
-    data += [(w, -1) for w in ordinary_windows([r["text"] for r in texts], groups)]
-    network = Network()
-    network.fit([(w, c) for w, c in data if w])
+    network = learned(data, [r["text"] for r in texts], groups)
     _MODELS[key] = network
     return network
 
