@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlegrain.llm import abuse, encodings, leaks, lookalikes, names, pages, personal, places
+from titlegrain.llm import abuse, encodings, leaks, lookalikes, mixture, names, pages, personal, places
 from titlegrain.session import table
 
 
@@ -71,6 +71,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each record is used in the mixture."""
+    return mixture.copies(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixture.report(p9_copies(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document in each category."""
     return abuse.scored(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
@@ -85,6 +95,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.reported(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_repaired": p2_repaired, "p2_found": p2_found, "p3_redacted": p3_redacted, "p3_found": p3_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_repaired": p2_repaired, "p2_found": p2_found, "p3_redacted": p3_redacted, "p3_found": p3_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found, "p9_copies": p9_copies, "p9_shares": p9_shares, "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
