@@ -31,6 +31,20 @@ def best_overlap(left: DataFrame, right: DataFrame, page: str, cell: float) -> D
     return met.groupBy(page, "id").agg(F.max_by("r_id", F.struct("r_score", -F.col("r_id"))).alias("best_id"))
 
 
+def unmatched(boxes: DataFrame, accepted: DataFrame, page: str, cell: float) -> DataFrame:
+    """Boxes that overlap no accepted box of the page and whose text no accepted box holds.
+
+    Every box is compared with the accepted ones only, not with boxes taken before it: the
+    result does not depend on an order.
+    """
+    rows = lambda d: d.withColumn("row", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
+    b = rows(accepted).select(page, "row", *[F.col(c).alias(f"r_{c}") for c in ("x0", "x1", "y0", "y1")])
+    met = rows(boxes).join(b, [page, "row"]).filter((overlap_share(F.col("y0"), F.col("y1"), F.col("r_y0"), F.col("r_y1")) > 0) & (overlap_share(F.col("x0"), F.col("x1"), F.col("r_x0"), F.col("r_x1")) > 0))
+    free = boxes.join(met.select(page, "id").distinct(), [page, "id"], "left_anti")
+    held = free.join(accepted.select(page, F.col("text").alias("whole")), page).filter(F.lower("whole").contains(F.lower("text"))).select(page, "id").distinct()
+    return free.join(held, [page, "id"], "left_anti")
+
+
 def words_in_lines(words: DataFrame, lines: DataFrame, page: str, slack: float = 3.0) -> DataFrame:
     """Words whose middle lies inside a line's box, with some slack, by page and line row."""
     w = words.withColumn("row", F.floor((F.col("y0") + F.col("y1")) / 2))

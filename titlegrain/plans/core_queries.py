@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from titlegrain.functions import scalars as S
 from titlegrain.functions import tamil
-from titlegrain.operators import crosscheck, documents, fields, geometry, lookup, register, units
+from titlegrain.operators import crosscheck, display, documents, fields, geometry, lookup, parse, register, units
 from titlegrain.nulls import SENTINELS, nullify
 from titlegrain.session import table
 from titlegrain.sources import readers, sinks
@@ -625,3 +625,97 @@ def open_loan_table(spark, d):
     events = open_loans.loan_events(_reg(spark, d))
     found = events.groupBy("doc_id", "ref").agg(F.min(F.when(F.col("event") == "mortgage", F.col("seq"))).alias("mortgage_seq"), F.min(F.when(F.col("event") == "discharge", F.col("seq"))).alias("discharge_seq"))
     return found.filter("mortgage_seq IS NOT NULL").withColumn("status", F.when(F.col("discharge_seq").isNull(), "open").otherwise("closed"))
+
+
+# ---- records out of texts, values for display --------------------------------------------
+_LABEL = "CASE " + " ".join(f"WHEN contains(lower(nature), '{w}') THEN '{label}'" for w, label in display.LABELS) + " WHEN nature IS NOT NULL THEN 'Other' END"
+
+
+@query(f"WITH {_REG} SELECT doc_id, seq, nature, {_LABEL} AS label FROM reg")
+def nature_labels(spark, d):
+    return _reg(spark, d).select("doc_id", "seq", "nature", display.nature_label(F.col("nature")).alias("label"))
+
+
+@query(rf"WITH {_REG} SELECT doc_id, seq, coalesce(consideration, nullif(regexp_extract(coalesce(remarks, ''), '(Rs[.]? ?[0-9,]+(?:/-)?)', 1), ''), market_value, '-') AS shown FROM reg")
+def amounts_shown(spark, d):
+    return _reg(spark, d).select("doc_id", "seq", display.shown_amount().alias("shown"))
+
+
+@query(
+    f"""WITH {_REG}, {_HEAD} SELECT reg.doc_id, reg.seq, coalesce(reg.extent, nullif(regexp_extract(coalesce(reg.remarks, ''), '(?i)extent of ([0-9][0-9.,]* [A-Za-z.]+)', 1), ''), {_nn('head.requested_extent')}) AS extent,
+ coalesce(reg.village_street, {_nn('head.village')}) AS place FROM reg LEFT JOIN head ON reg.doc_id = head.doc_id"""
+)
+def property_info(spark, d):
+    head = crosscheck.latest_header(table(spark, d, "ec_header")).select("doc_id", nullify(F.col("requested_extent")).alias("requested_extent"), nullify(F.col("village")).alias("village"))
+    return display.property_info(_reg(spark, d), head)
+
+
+@query(
+    f"""WITH {_REG}, n AS (SELECT doc_id, count(*) AS pages FROM ec GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS entries FROM reg GROUP BY doc_id)
+ SELECT reg.doc_id, seq, coalesce(CAST(page_index AS BIGINT), CAST(least(pages - 1, floor((seq - 1) * pages / entries)) AS BIGINT)) AS page FROM reg JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
+)
+def pages_shown(spark, d):
+    return display.shown_page(_reg(spark, d), table(spark, d, "ec"))
+
+
+_TEXT_SQL = "replace(lower(requested_extent), ',', '')"
+
+
+def _unit_sql(unit: str) -> str:
+    return rf"try_cast(regexp_extract({_TEXT_SQL}, '([0-9]+(?:\.[0-9]+)?)\s*(?:{unit})', 1) AS DOUBLE)"
+
+
+_BARE_SQL = rf"try_cast(regexp_extract(trim({_TEXT_SQL}), '^([0-9]+(?:\.[0-9]+)?)$', 1) AS DOUBLE)"
+_SQF, _SQM, _GRD, _ACR, _CNT = (_unit_sql(u) for u in (display._SQFT, display._SQM, display._GROUND, display._ACRE, display._CENT))
+
+
+@query(
+    f"""SELECT DISTINCT doc_id, requested_extent, round(coalesce({_SQF}, {_SQM} * 10.7639::DOUBLE, {_GRD} * 2400, {_ACR} * 43560, {_CNT} * 435.6::DOUBLE, {_BARE_SQL}), 2) AS by_check,
+ round(coalesce({_CNT} * 435.6::DOUBLE, {_ACR} * 43560, {_GRD} * 2400, {_SQM} * 10.7639::DOUBLE, {_SQF}, {_BARE_SQL}), 2) AS by_validator FROM ec_header"""
+)
+def extent_sqft(spark, d):
+    """The two precedences of the inventory side by side; ``p5_areas`` reads compounds rightly."""
+    e = F.col("requested_extent")
+    return table(spark, d, "ec_header").select("doc_id", e, display.extent_by_check(e).alias("by_check"), display.extent_by_validator(e).alias("by_validator")).distinct()
+
+
+@query(f"SELECT DISTINCT row_id, land_type, NOT {_has('land_type', ['ryotwari', 'private', 'patta land', 'wet', 'dry', 'நஞ்சை', 'நன்செய்', 'புஞ்சை'])} AND {_has('land_type', ['poramboke', 'government', 'waterbody', 'kanmai', 'road', 'புறம்போக்கு', 'அரசு'])} AS flagged FROM real_pdf_result")
+def land_flags(spark, d):
+    return table(spark, d, "real_pdf_result").select("row_id", "land_type", display.land_flag(F.col("land_type")).alias("flagged")).distinct()
+
+
+_RELATION = r"(?i)^(.*?)[,\s]+(?:[sdwh]/o[.]?|(?:son|daughter|wife|husband) of)\s+(.+)$"
+
+
+@query(f"WITH {_PARTIES} SELECT doc_id, seq, side, ordinal, CASE WHEN regexp_matches(party, '{_RELATION}') THEN regexp_extract(party, '{_RELATION}', 1) ELSE party END AS name, nullif(regexp_extract(party, '{_RELATION}', 2), '') AS parent FROM parties")
+def parentage(spark, d):
+    rows = register.parties(_reg(spark, d))
+    return rows.select("doc_id", "seq", "side", "ordinal", display.parentage(F.regexp_replace("party", r"S/o\.", "S/o")).alias("p")).select("doc_id", "seq", "side", "ordinal", "p.*")
+
+
+def _sorted_sql() -> str:
+    scores = {n: f"coalesce({_score_sql(w, 'text')}, 0)" for n, w in documents.SORTS}
+    return "(CASE " + " ".join(f"WHEN {v} = greatest({', '.join(scores.values())}) AND {v} > 0 THEN '{n}'" for n, v in scores.items()) + f" ELSE '{documents.SORTS[0][0]}' END)"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text, {_sorted_sql()} AS sort FROM documents WHERE text IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, sort, '{r.field}' AS field, nullif(trim(regexp_extract(text, '{r.pattern}', 1)), '') AS value, CASE WHEN nullif(trim(regexp_extract(text, '{r.pattern}', 1)), '') IS NULL THEN 0.0::DOUBLE ELSE {r.confidence}::DOUBLE END AS confidence FROM s WHERE sort = '{n}'"
+        for n, rules in parse.RULES_BY_SORT.items()
+        for r in rules
+    )
+)
+def extracted_documents(spark, d):
+    return parse.extract_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def line_entries(spark, d):
+    return parse.line_entries(documents.lines(table(spark, d, "ec"), "page_id", "content"), "page_id")
+
+
+@query("SELECT l_orderkey, count(*) AS members, count(*) FILTER (regexp_matches(lower(l_returnflag), 'n|a')) AS accounted, coalesce(string_agg(DISTINCT CASE WHEN NOT regexp_matches(lower(l_returnflag), 'n|a') THEN CAST(l_suppkey AS VARCHAR) END, ',' ORDER BY CASE WHEN NOT regexp_matches(lower(l_returnflag), 'n|a') THEN CAST(l_suppkey AS VARCHAR) END), '') AS missing, count(*) = count(*) FILTER (regexp_matches(lower(l_returnflag), 'n|a')) AS complete FROM lineitem GROUP BY l_orderkey")
+def heir_gate(spark, d):
+    """J6 in its table form: an order is complete if every line is accounted for by its flag."""
+    return parse.all_accounted(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_returnflag", ("n", "a"))
