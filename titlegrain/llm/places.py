@@ -20,7 +20,8 @@ from titlegrain.llm import lookalikes
 from titlegrain.nulls import missing
 from titlegrain.session import small_enough
 
-#: Acceptance: least cosine, least distance (cosine less share of edits) to the second entry,
+#: Acceptance: least cosine of an entry, least distance (cosine less share of edits) to the second
+#: entry of that cosine,
 #: and the exact check that follows: most edits, most edits as a share of the longer text.
 THRESHOLD, MARGIN, EDITS, SHARE = 0.15, 0.05, 3, 0.3
 
@@ -109,7 +110,10 @@ def mapping(values: DataFrame, places: DataFrame) -> DataFrame:
 
     distinct = values.select("field_name", "value").distinct()
     formed = lookalikes.one_form(distinct).drop("imitates")
-    query = formed.select("field_name", "value", plain(F.col("canonical")).alias("asked"))
+    # The few bytes of distinct values grow several hundredfold as n-grams: spread them by number.
+    spark = values.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    query = formed.repartition(parts).select("field_name", "value", plain(F.col("canonical")).alias("asked"))
     asked = query.select("field_name", "value", "asked", F.explode(grams(folded(F.col("asked")))).alias("gram"))
     joined = asked.join(F.broadcast(index) if small_enough(places) else index, ["field_name", "gram"], "left")
     # A gram outside the index weighs as one found in half an entry.
@@ -121,6 +125,7 @@ def mapping(values: DataFrame, places: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
         .join(totals, ["field_name", "value"])
         .withColumn("score", F.col("dot") / (F.col("entry_norm") * F.col("asked_norm")))
+        .filter(F.col("score") >= THRESHOLD)
         .withColumn("edits", edits(F.col("asked"), F.col("norm")))
         .withColumn("share", F.col("edits") / F.greatest(F.length("asked"), F.length("norm"), F.lit(1)))
         .withColumn("rank", F.col("score") - F.col("share"))
@@ -128,7 +133,7 @@ def mapping(values: DataFrame, places: DataFrame) -> DataFrame:
     per_place = scored.groupBy("field_name", "value", "place_id").agg(F.max(F.struct("rank", "score", "edits", "share")).alias("s"))
     ranked = per_place.groupBy("field_name", "value").agg(F.slice(F.sort_array(F.collect_list(F.struct("s.rank", "s.score", "s.edits", "s.share", "place_id")), asc=False), 1, 2).alias("top"))
     best, second = F.col("top")[0], F.coalesce(F.try_element_at("top", F.lit(2))["rank"], F.lit(-1.0))
-    accepted = (best["score"] >= THRESHOLD) & (best["rank"] - second >= MARGIN) & (best["edits"] <= EDITS) & (best["share"] <= SHARE)
+    accepted = (best["rank"] - second >= MARGIN) & (best["edits"] <= EDITS) & (best["share"] <= SHARE)
     decided = ranked.select("field_name", "value", F.when(accepted, best["place_id"]).otherwise(0).alias("place_id"), F.round(best["score"], 4).alias("score"), F.round(best["rank"] - second, 4).alias("margin"), best["edits"].alias("edits"), F.round(best["share"], 3).alias("share"), best["place_id"].alias("nearest"))
     whole = query.select("field_name", "value").join(decided, ["field_name", "value"], "left")
     return whole.withColumn("place_id", F.coalesce("place_id", F.lit(0)))
