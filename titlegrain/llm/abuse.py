@@ -31,8 +31,9 @@ WINDOW, STRIDE, REPORTED = 24, 8, 0.5
 BUCKETS, SIZE, HIDDEN, ROUNDS, LAST, BATCH, STEP, DECAY = 1 << 14, 24, 16, 18, 6, 128, 0.007, 1e-5
 #: At most so many labelled rows are fitted; rows of the supplement; documents drawn (by the
 #: hash of their text) whose windows without listed and rare words stand for ordinary text, and
-#: how many of these windows are fitted at first.
-LABELLED, SUPPLEMENT, DRAWN, ORDINARY = 5_000, 2_000, 3_000, 9_000
+#: how many of these windows are fitted at first; the longest document drawn, in characters
+#: (for fitting only: every document is scored whole).
+LABELLED, SUPPLEMENT, DRAWN, ORDINARY, LONGEST = 5_000, 2_000, 3_000, 9_000, 20_000
 
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[a-z0-9@$!*À-ɏ஀-௿’']*[a-z0-9*À-ɏ஀-௿]")
@@ -482,7 +483,7 @@ def trained(labels: DataFrame, documents: DataFrame) -> Network:
     """The network fitted to at most ``LABELLED`` labelled rows, the supplement, and windows
     of at most ``DRAWN`` documents as ordinary text."""
     rows = labels.select("sample_text", "category").filter("sample_text IS NOT NULL AND category IS NOT NULL").orderBy("sample_id").limit(LABELLED).collect()
-    texts = documents.select("text").filter("text IS NOT NULL AND text <> ''").orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()
+    texts = documents.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()
     key = hash((tuple((r["sample_text"], r["category"]) for r in rows), tuple(r["text"] for r in texts)))
     if key in _MODELS:
         return _MODELS[key]

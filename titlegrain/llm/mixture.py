@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from titlegrain.session import cut
 
 #: Labelled rows fitted per source (drawn by hash), hashed words, iterations, sharpness of the
-#: words' evidence, and how far a record's own label is trusted: it is evidence as well.
-LABELLED, BUCKETS, ROUNDS, SHARPNESS, TRUST = 500, 1 << 14, 12, 4.0, 0.995
+#: words' evidence, how far a record's own label is trusted (it is evidence as well), and the
+#: longest row the classifier is fitted on, in characters (all rows are measured and rated whole).
+LABELLED, BUCKETS, ROUNDS, SHARPNESS, TRUST, LONGEST = 500, 1 << 14, 12, 4.0, 0.995, 20_000
 #: Where the public tokenizers lie, and the one that measures.
 TOKENIZERS, TOKENIZER = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 
@@ -60,7 +61,7 @@ def _words(text: str) -> set[int]:
 def classifier(documents: DataFrame, sources: list[str]) -> np.ndarray:
     """Log weights (word, source) of a naive Bayes classifier; the last row is the prior."""
     order = Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = documents.filter(F.col("source").isin(sources)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LABELLED)
+    sample = documents.filter(F.col("source").isin(sources) & (F.length("text") <= LONGEST)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LABELLED)
     counts = np.full((BUCKETS, len(sources)), 0.1)
     rows = np.zeros(len(sources))
     index = {s: i for i, s in enumerate(sources)}

@@ -97,4 +97,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_repaired": p2_repaired, "p2_found": p2_found, "p3_redacted": p3_redacted, "p3_found": p3_found, "p4_forms": p4_forms, "p4_found": p4_found, "p6_mapping": p6_mapping, "p6_found": p6_found, "p7_restored": p7_restored, "p7_found": p7_found, "p8_spans": p8_spans, "p8_found": p8_found, "p9_copies": p9_copies, "p9_shares": p9_shares, "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_found": p10_found}
 
-SQL: dict[str, str] = {}
+_VALUES = """SELECT 'ec_entry' AS src, concat_ws('#', doc_id, seq) AS rec_key, 'nature' AS field_name, nature AS value FROM ec_entry WHERE nature IS NOT NULL
+UNION ALL SELECT 'ec_header', doc_id, 'village', village FROM ec_header WHERE village IS NOT NULL
+UNION ALL SELECT 'ec_header', doc_id, 'sro', sro FROM ec_header WHERE sro IS NOT NULL"""
+_FORMS = f"WITH batch AS ({_VALUES}), {lookalikes.statement().strip().removeprefix('WITH ')}"
+
+#: Operators that SQL cannot express over whole tables are tested in tests/llm instead.
+SQL: dict[str, str] = {
+    "p4_forms": f"SELECT DISTINCT * FROM ({_FORMS})",
+    "p4_found": f"SELECT DISTINCT src, rec_key, field_name FROM ({_FORMS}) WHERE imitates",
+}
