@@ -82,3 +82,15 @@ def test_unmatched_boxes(spark):
 def test_empty_bundle_is_no_pass(spark):
     checks = spark.createDataFrame([("d", "a", "unknown"), ("e", "a", "pass"), ("e", "b", "unknown"), ("f", "a", "fail")], "doc_id string, check_name string, status string")
     assert {r["doc_id"]: r["clean"] for r in crosscheck.matrix_summary(checks).collect()} == {"d": False, "e": True, "f": False}
+
+
+def test_predicates(spark):
+    from titlegrain.operators import predicates as P
+
+    assert [shown(spark, t, P.plausible_survey) for t in ("142/2B", "0", "12/05/2001", "5/2001", "007/1")] == [True, False, False, False, False]
+    assert [shown(spark, t, P.plausible_extent) for t in ("2010 Grounds", "150 grounds 5 sq.ft", "4 Grounds", None)] == [False, True, True, True] or shown(spark, None, P.plausible_extent) is None
+    text = "Power of attorney given in document 12/2001 to the agent"
+    assert shown(spark, text, lambda c: P.attorney_context(c, "12/2001")) and not shown(spark, text, lambda c: P.attorney_context(c, "13/2001"))
+    assert shown(spark, "x" * 140, P.shortened) == "x" * 127 + "..."
+    days = spark.createDataFrame([(31, 2, 2001), (1, 13, 2001), (None, 1, 2001)], "d int, m int, y int")
+    assert [r[0] for r in days.select(P.plausible_date(F.col("d"), F.col("m"), F.col("y"))).collect()] == [True, False, False]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from titlegrain.functions import scalars as S
 from titlegrain.functions import tamil
-from titlegrain.operators import crosscheck, display, documents, fields, geometry, lookup, parse, register, units
+from titlegrain.operators import crosscheck, display, documents, fields, geometry, lookup, parse, predicates, register, units
 from titlegrain.nulls import SENTINELS, nullify
 from titlegrain.session import table
 from titlegrain.sources import readers, sinks
@@ -719,3 +719,43 @@ def line_entries(spark, d):
 def heir_gate(spark, d):
     """J6 in its table form: an order is complete if every line is accounted for by its flag."""
     return parse.all_accounted(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_returnflag", ("n", "a"))
+
+
+# ---- smaller filters ---------------------------------------------------------------------
+@query(f"WITH {_REG} SELECT doc_id, seq, survey_no, regexp_matches(survey_no, '^[1-9][0-9]{{0,4}}(?:/[0-9A-Z]+)*$') AND NOT regexp_matches(survey_no, '^(?:0|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{1,2}}/(?:19|20)[0-9]{{2}})$') AS plausible FROM reg WHERE survey_no IS NOT NULL")
+def survey_candidates(spark, d):
+    return _reg(spark, d).filter("survey_no IS NOT NULL").select("doc_id", "seq", "survey_no", predicates.plausible_survey(F.col("survey_no")).alias("plausible"))
+
+
+@query("SELECT DISTINCT doc_id, requested_extent, NOT (coalesce(try_cast(regexp_extract(lower(requested_extent), '([0-9]+)(?:[.][0-9]+)? *(?:grounds?|grds?|கிரவுண்ட்)', 1) AS INTEGER) >= 100, FALSE) AND NOT regexp_matches(lower(requested_extent), 'sq[.]? ?ft|sft')) AS plausible FROM ec_header")
+def extent_noise(spark, d):
+    e = F.col("requested_extent")
+    return table(spark, d, "ec_header").select("doc_id", e, predicates.plausible_extent(e).alias("plausible")).distinct()
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'survey')) AS INTEGER) AS hits FROM documents WHERE len(regexp_extract_all(lower(text), 'survey')) > 0")
+def word_hits(spark, d):
+    return predicates.word_hits(table(spark, d, "documents"), "doc_id", "text", "survey")
+
+
+@query(f"WITH {_PROFILES} SELECT doc_id, party_key, party, owner_group FROM groups WHERE owner_group = 'current' AND contains(lower(concat_ws(' ', doc_id, party)), 'mani')")
+def owner_directory(spark, d):
+    groups = register.owner_groups(register.party_profiles(register.parties(_reg(spark, d))))
+    return predicates.directory(groups, "mani", ["doc_id", "party"], "owner_group", "current")
+
+
+@query(f"WITH {_LINES} SELECT page_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN length(line) > 60 THEN concat(left(line, 57), '...') ELSE line END AS line FROM lines WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]')")
+def lines_kept(spark, d):
+    rows = predicates.kept_lines(documents.lines(table(spark, d, "ec"), "page_id", "content"), "line")
+    return rows.select("page_id", "line_no", predicates.shortened(F.col("line"), 60).alias("line"))
+
+
+@query(f"WITH {_HEAD}, b AS ({_ENVELOPE}) SELECT doc_id, field, value FROM b WHERE field NOT IN ('form_type', 'application_no')")
+def fields_kept(spark, d):
+    return predicates.kept_fields(field_envelope(spark, d), ("form_type", "application_no")).select("doc_id", "field", "value")
+
+
+@query("SELECT place_id, CASE WHEN place_name IS NOT NULL AND name_ta IS NOT NULL THEN concat(place_name, ' (', name_ta, ')') ELSE coalesce(place_name, name_ta) END AS both, coalesce(name_ta, place_name) AS tamil FROM place_ref")
+def places_by_language(spark, d):
+    en, ta = F.col("place_name"), F.col("name_ta")
+    return table(spark, d, "place_ref").select("place_id", predicates.by_language(en, ta, "both").alias("both"), predicates.by_language(en, ta, "ta").alias("tamil"))

@@ -17,6 +17,11 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_json(table: DataFrame, path: str) -> None:
+    """K4: JSON lines."""
+    table.write.mode("overwrite").json(path)
+
+
 def key_value_lines(fields: DataFrame, key: str) -> DataFrame:
     """K2, K3: fields as lines ``Title Case: value``; missing values as ``Not Detected``."""
     title = F.initcap(F.regexp_replace("field", "_", " "))
