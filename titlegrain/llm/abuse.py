@@ -214,7 +214,7 @@ def supplement(groups: list[str], size: int = SUPPLEMENT, seed: int = 5) -> list
     return rows
 
 
-def ordinary_windows(texts: list[str], groups: list[str]) -> list[list[str]]:
+def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = ()) -> list[list[str]]:
     """Windows of the drawn documents that stand for ordinary text: no listed word, no masked
     word, and no word in small letters that fewer than one in 500 of these documents has (one
     such word is allowed in Tamil, where names have no capitals). What is rare stays out, so
@@ -228,6 +228,9 @@ def ordinary_windows(texts: list[str], groups: list[str]) -> list[list[str]]:
     least = max(3, len(texts) / 500)
     small = {w for text in texts for piece in re.findall(r"(?<![\w.])[a-z]{3,}", text) for w in (piece,)}
     windows = []
+    for text in sober:
+        words = words_of(text)
+        windows += [words[a : a + WINDOW] for a in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE) if words]
     for text in texts:
         words = words_of(text)
         for a in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
@@ -464,10 +467,10 @@ class Scorer:
 _MODELS: dict[int, Network] = {}
 
 
-def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str]) -> Network:
+def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str], sober: list[str] = ()) -> Network:
     """Training in two parts: with a draw of ordinary windows, then with those ordinary windows
     that the first part scores highest."""
-    windows = ordinary_windows(texts, groups)
+    windows = ordinary_windows(texts, groups, sober)
     order = np.random.default_rng(7).permutation(len(windows))
     drawn = [(windows[i], -1) for i in order[:ORDINARY]]
     data = [(w, c) for w, c in data if w]
@@ -479,12 +482,13 @@ def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[st
     return network
 
 
-def trained(labels: DataFrame, documents: DataFrame) -> Network:
+def trained(labels: DataFrame, documents: DataFrame, sober: DataFrame | None = None) -> Network:
     """The network fitted to at most ``LABELLED`` labelled rows, the supplement, and windows
-    of at most ``DRAWN`` documents as ordinary text."""
+    of at most ``DRAWN`` documents, and of as many ``sober`` texts, as ordinary text."""
     rows = labels.select("sample_text", "category").filter("sample_text IS NOT NULL AND category IS NOT NULL").orderBy("sample_id").limit(LABELLED).collect()
     texts = documents.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()
-    key = hash((tuple((r["sample_text"], r["category"]) for r in rows), tuple(r["text"] for r in texts)))
+    calm = [] if sober is None else [r["text"] for r in sober.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()]
+    key = hash((tuple(calm), tuple((r["sample_text"], r["category"]) for r in rows), tuple(r["text"] for r in texts)))
     if key in _MODELS:
         return _MODELS[key]
     # Names of groups: capitalised words of hateful samples that no other sample has.
@@ -494,18 +498,18 @@ def trained(labels: DataFrame, documents: DataFrame) -> Network:
     index = {c: i for i, c in enumerate(CATEGORIES)}
     data = [(words_of(r["sample_text"])[:WINDOW], index.get(r["category"], -1)) for r in rows] * 3
     data += [(words_of(t)[:WINDOW], index.get(c, -1)) for t, c in supplement(groups)]
-    network = learned(data, [r["text"] for r in texts], groups)
+    network = learned(data, [r["text"] for r in texts], groups, calm)
     _MODELS[key] = network
     return network
 
 
-def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, sober: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, abusive, hateful, sexual`` (scores from 0 to 1) of every document.
 
     NULL and empty texts score 0; repeated texts score alike under each id; a very long text
     is scored whole, window by window; without labelled rows the supplement alone trains.
     """
-    network = documents.sparkSession.sparkContext.broadcast(trained(labels, documents))
+    network = documents.sparkSession.sparkContext.broadcast(trained(labels, documents, sober))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(network.value)

@@ -83,7 +83,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document in each category."""
-    return abuse.scored(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "abuse_labels"), table(spark, d, "eval_items").select(F.col("item_text").alias("text")))
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
