@@ -2,7 +2,7 @@
 
 Method: distinct values are normalised (one form of look-alike characters, lower case,
 administrative words and abbreviations removed or written out), candidates come from an
-inverted index of character n-grams (1 to 3 characters of the text and of its consonant
+inverted index of character n-grams (2 and 3 characters of the text and of its consonant
 skeleton), pairs are scored by the cosine of inverse-document-frequency weights, and the
 best entry is accepted above a threshold and a margin over the second one.
 
@@ -23,7 +23,7 @@ from titlegrain.session import small_enough
 #: Acceptance: least cosine of an entry, least distance (cosine less share of edits) to the second
 #: entry of that cosine,
 #: and the exact check that follows: most edits, most edits as a share of the longer text.
-THRESHOLD, MARGIN, EDITS, SHARE = 0.15, 0.05, 3, 0.3
+THRESHOLD, MARGIN, EDITS, SHARE = 0.08, 0.05, 3, 0.3
 
 # Words that only name the kind of a place, and abbreviations written out.
 KIND_WORDS = r"\b(?:village|vill|vlg|gramam|kiramam|post|district|dist|dt|mavattam|zone|regn|region|mandalam|taluk|town|v|d|z)\b"
@@ -65,7 +65,7 @@ def folded(text: Column) -> Column:
 
 
 def grams(col: Column) -> Column:
-    """Distinct n-grams: of the padded text (1 to 3 characters) and of its skeleton (2 and 3)."""
+    """Distinct n-grams: of the padded text (2 and 3 characters) and of its skeleton (2 and 3)."""
     padded = F.concat(F.lit("^"), col, F.lit("$"))
     bones = F.concat(F.lit("^"), F.regexp_replace(col, "[aeiou ]", ""), F.lit("$"))
 
@@ -73,7 +73,7 @@ def grams(col: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
 
-    return F.array_distinct(F.concat(cut(padded, 1, "1"), cut(padded, 2, "2"), cut(padded, 3, "3"), cut(bones, 2, "k"), cut(bones, 3, "b")))
+    return F.array_distinct(F.concat(cut(padded, 2, "2"), cut(padded, 3, "3"), cut(bones, 2, "k"), cut(bones, 3, "b")))
 
 
 def edits(a: Column, b: Column) -> Column:
