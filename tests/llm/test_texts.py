@@ -81,9 +81,17 @@ def test_stretches_equal_whole_decoding():
         assert G.noise_of(text, decoder, 2) == noise | decoder.decode(G.stream(lines))[1]
 
 
+def test_long_noisy_text():
+    decoder = G.Decoder({w: 50 for t in CLEAN for w in t.lower().strip(".").split()})
+    text = "\n".join("The pr0perty qq zz prop-\nerty" for _ in range(20_000))
+    assert G.noise_of(text, decoder, 1) == {"hyphen", "misread"}
+
+
 def test_paragraphs():
     lines = ["one two three four five six", "seven eight nine ten eleven", "twelve.", "Another one begins here and", "goes on."]
     assert [len(g) for g in G.paragraphs(lines)] == [3, 2]
+    assert [len(g) for g in G.paragraphs(["CERTIFICATE OF TITLE HERE", "The first line of a text that", "goes on."])] == [1, 2]
+    assert len(G.paragraphs(["word " * 10] * 50_000)) >= 1  # linear in the lines
     assert G.paragraphs([]) == [] and [len(g) for g in G.paragraphs(["a", "", "b"])] == [1, 1]
 
 

@@ -223,6 +223,8 @@ def _forward(words: list[bytes], stream: bytes, i: int, at: int, end: int) -> li
 
 def passage(words: list[bytes], backwards: list[bytes], stream: bytes, i: int, at: int, low: int, high: int) -> tuple[int, int, int] | None:
     """The longest passage through word ``i`` at ``at``: (words, from, to), or None if short."""
+    reach = 4 * sum(map(len, words)) + 400  # no passage of the item reaches further
+    low, high = max(low, at - reach), min(high, at + reach)
     right = _forward(words, stream, i, at, high)
     left = _forward(backwards, stream[low:at][::-1], len(words) - i, 0, at - low)
     run = [(len(words) - 1 - k, ok, at - b, at - a) for k, ok, a, b in reversed(left)] + right
