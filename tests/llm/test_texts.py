@@ -13,8 +13,9 @@ def test_lookalikes(spark):
     got = {r["id"]: (r["canonical"], r["imitates"]) for r in L.one_form(rows).collect()}
     assert [got[i][1] for i in range(len(texts))] == [True, True, True, True, True, False, False, True, False, True, False, True, False, False, False, True]
     assert got[0][0] == got[1][0] == got[2][0] == got[3][0] == "Sale deed" and got[4][0] == "Cession à titre" and got[7][0] == "பாகப்பிரிவினை" and got[9][0] == "specific" and got[12][0] is None
-    with pytest.raises(ValueError):
-        L.one_form(rows.withColumnRenamed("id", "canonical"))
+    clash = L.one_form(rows.withColumnRenamed("id", "canonical"), only_imitating=True)
+    assert clash.columns == ["value", "canonical", "imitates"] and clash.count() == 9
+    assert L.one_form(rows.filter("false")).count() == 0
 
 
 CHAINS = [("cp1252",), ("latin-1",), ("cp437",), ("cp866",), ("mac_roman",)]

@@ -81,13 +81,12 @@ def one_form(values: DataFrame, only_imitating: bool = False) -> DataFrame:
     """Adds ``canonical`` and ``imitates`` to rows with a STRING column ``value``.
 
     NULL stays NULL and does not imitate; an empty text stays empty; ties and repeated
-    rows keep their own row each; other columns pass through unchanged (a column called
-    ``canonical`` or ``imitates`` is refused); very long texts are handled whole.
+    rows keep their own row each; other columns pass through unchanged (columns called
+    ``canonical`` or ``imitates`` are replaced); very long texts are handled whole.
     ``imitates``: some character only imitates or hides behind the ordinary form, that
     is, the mapped form differs, or a word still mixes scripts.
     """
-    if {"canonical", "imitates"} & set(values.columns):
-        raise ValueError("rename the columns canonical and imitates first")
+    values = values.drop("canonical", "imitates")
     sql = statement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
