@@ -123,11 +123,8 @@ DEED_RULES = [
 ]
 
 
-def extract_by_rules(texts: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
-    """The EAV table ``key, field, value, confidence``; a field without a hit has NULL and 0.
-
-    All patterns are projections of one scan; nothing is shuffled.
-    """
+def rule_cells(text: str, rules: list[Rule]) -> Column:
+    """The fields of a set of rules as one array of ``field, value, confidence``."""
     fields: dict[str, list[Rule]] = {}
     for rule in sorted(rules, key=lambda r: r.rank):
         fields.setdefault(rule.field, []).append(rule)
@@ -136,7 +133,15 @@ def extract_by_rules(texts: DataFrame, key: str, text: str, rules: list[Rule]) -
         hits = [F.nullif(F.trim(F.regexp_extract(text, r.pattern, 1)), F.lit("")) for r in own]
         sure = F.coalesce(*[F.when(h.isNotNull(), F.lit(r.confidence)) for h, r in zip(hits, own)], F.lit(0.0))
         cells.append(F.struct(F.lit(field).alias("field"), F.coalesce(*hits).alias("value"), sure.alias("confidence")))
-    return texts.filter(F.col(text).isNotNull()).select(key, F.inline(F.array(*cells)))
+    return F.array(*cells)
+
+
+def extract_by_rules(texts: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
+    """The EAV table ``key, field, value, confidence``; a field without a hit has NULL and 0.
+
+    All patterns are projections of one scan; nothing is shuffled.
+    """
+    return texts.filter(F.col(text).isNotNull()).select(key, F.inline(rule_cells(text, rules)))
 
 
 def boundary_clauses(reg: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlegrain.functions import scalars as S
-from titlegrain.operators.documents import SORTS, Rule, extract_by_rules, keyword_score
+from titlegrain.operators.documents import SORTS, Rule, keyword_score
 
 _CELLS = [f"c{i}" for i in range(7)]
 
@@ -109,11 +109,20 @@ def extract_documents(texts: DataFrame, key: str, text: str, sort: str | None =
     else:
         named = F.col(sort)
     kept = texts.filter(F.col(text).isNotNull()).withColumn("_sort", named)
-    out: DataFrame | None = None
-    for name, rules in RULES_BY_SORT.items():
-        part = extract_by_rules(kept.filter(F.col("_sort") == name), key, text, rules).withColumn("sort", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.select(key, "sort", "field", "value", "confidence")
+    # One scan: the rules are a fixed table met by the sort; their patterns are values, so that
+    # the plan stays small however many rules there are.
+    rows = [(name, field, [r.pattern for r in own], float(own[0].confidence)) for name, rules in RULES_BY_SORT.items() for field, own in _by_field(rules).items()]
+    table = texts.sparkSession.createDataFrame(rows, "_sort string, field string, patterns array<string>, sure double")
+    hits = F.expr(f"filter(transform(patterns, p -> nullif(trim(regexp_extract(`{text}`, p, 1)), '')), v -> v IS NOT NULL)")
+    out = kept.select(key, text, "_sort").join(F.broadcast(table), "_sort").withColumn("value", F.try_element_at(hits, F.lit(1)))
+    return out.select(key, F.col("_sort").alias("sort"), "field", "value", F.when(F.col("value").isNotNull(), F.col("sure")).otherwise(0.0).alias("confidence"))
+
+
+def _by_field(rules: list[Rule]) -> dict[str, list[Rule]]:
+    fields: dict[str, list[Rule]] = {}
+    for rule in sorted(rules, key=lambda r: r.rank):
+        fields.setdefault(rule.field, []).append(rule)
+    return fields
 
 
 def heirs(texts: DataFrame, key: str, text: str) -> DataFrame:

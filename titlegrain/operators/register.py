@@ -132,18 +132,21 @@ def loan_match_first(reg: DataFrame) -> DataFrame:
 
     A discharge fits if it refers to the mortgage's document, also in the two-digit form, or
     if its executant and claimant are the lender and the borrower for the same survey number.
-    No condition on order. The candidates are pre-aggregated to the first by key, so that a
-    mortgage meets one row a key and no pairs are made.
+    No condition on order. Every deed emits its keys once (documents referred to, pair of
+    parties with survey number); a window by key finds the first discharge of each, so that
+    one scan and fine keys do and no pairs are made.
     """
-    mortgages = reg.filter(is_kind("mortgage")).select("doc_id", "seq", "doc_no", "survey_no")
-    discharges = reg.filter(is_kind("discharge"))
-    by_ref = references(discharges).groupBy("doc_id", "ref").agg(F.min("seq").alias("by_ref"))
-    found_ref = mortgages.select("doc_id", "seq", F.explode(_doc_keys(F.col("doc_no"))).alias("ref")).join(by_ref, ["doc_id", "ref"]).groupBy("doc_id", "seq").agg(F.min("by_ref").alias("by_ref"))
-    keys = ["doc_id", "survey_no", "lender", "borrower"]
-    paid = _party_links(reg, "discharge", "executants", "claimants").groupBy(*keys).agg(F.min("seq").alias("by_party"))
-    found_party = _party_links(reg, "mortgage", "claimants", "executants").join(paid, keys).select("doc_id", "seq", "by_party")
-    out = mortgages.join(found_ref, ["doc_id", "seq"], "left").join(found_party, ["doc_id", "seq"], "left")
-    return out.select("doc_id", "seq", "doc_no", F.least("by_ref", "by_party").alias("discharge_seq"))
+    party = lambda c: S.party_key(F.try_element_at(S.party_items(F.col(c)), F.lit(1)))
+    owed, paid = is_kind("mortgage"), is_kind("discharge")
+    lender = F.when(owed, party("claimants")).otherwise(party("executants"))
+    borrower = F.when(owed, party("executants")).otherwise(party("claimants"))
+    pair = F.concat(F.lit("p|"), F.col("survey_no"), F.lit("|"), lender, F.lit("|"), borrower)
+    refs = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "pr_numbers", "remarks"), F.lit(r"([0-9]{1,6}/[0-9]{2,4})\b"), F.lit(1)))
+    own = F.when(owed, _doc_keys(F.col("doc_no"))).otherwise(refs)
+    keys = F.concat(F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda k: F.concat(F.lit("r|"), k)), F.array_compact(F.array(pair, F.when(owed, F.concat(F.lit("m|"), F.col("seq").cast("string"))))))
+    rows = reg.filter(owed | paid).select("doc_id", "seq", "doc_no", owed.alias("owed"), F.explode(keys).alias("key"))
+    first = F.min(F.when(~F.col("owed"), F.col("seq"))).over(Window.partitionBy("doc_id", "key"))
+    return rows.withColumn("found", first).filter("owed").groupBy("doc_id", "seq").agg(F.first("doc_no").alias("doc_no"), F.min("found").alias("discharge_seq"))
 
 
 def loan_match_after(reg: DataFrame) -> DataFrame:
