@@ -243,6 +243,17 @@ def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = ())
     return windows
 
 
+def _gathered(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The rows of ``values`` added up by ``index`` (0 to n - 1)."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        sorted_ = index[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        out[sorted_[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 class Network:
     """The weights, the training, and the scoring of windows."""
 
@@ -379,22 +390,18 @@ class Network:
                     grads[f"W{d}"] = x.reshape(-1, SIZE).T @ gates.reshape(-1, 3 * HIDDEN)
                     grads[f"b{d}"] = gates.sum((0, 1))
                     dx += gates @ self.w[f"W{d}"].T
-                dtable = np.zeros_like(table)
-                np.add.at(dtable, where.ravel(), dx.reshape(-1, SIZE))
+                dtable = _gathered(where.ravel(), dx.reshape(-1, SIZE), len(used))
                 dtable[used == 0] = 0
                 step += 1
                 rate = rate_from * STEP * min(1.0, 2 * (1 - round_ / rounds))
                 for name, grad in grads.items():
                     self._adam(name, slice(None), grad + DECAY * self.w[name], moments, step, rate)
                 rows_word, at = np.unique(own[used], return_inverse=True)
-                grad = np.zeros((len(rows_word), SIZE), np.float32)
-                np.add.at(grad, at, dtable)
-                self._adam("word", rows_word, grad, moments, step, rate)
+                self._adam("word", rows_word, _gathered(at, dtable, len(rows_word)), moments, step, rate)
                 chars = np.concatenate(spans) if spans else np.zeros(0, np.int64)
                 rows_char, at = np.unique(chars, return_inverse=True)
-                grad = np.zeros((len(rows_char), SIZE), np.float32)
-                np.add.at(grad, at, np.repeat(dtable / sizes[:, None], [len(s) for s in spans], axis=0))
-                self._adam("char", rows_char, grad, moments, step, rate)
+                shared = np.repeat(dtable / sizes[:, None].astype(np.float32), [len(s) for s in spans], axis=0)
+                self._adam("char", rows_char, _gathered(at, shared, len(rows_char)), moments, step, rate)
 
     def _adam(self, name: str, rows, grad: np.ndarray, moments: dict, step: int, rate: float) -> None:
         m, v = moments[name]

@@ -253,7 +253,7 @@ class Model:
     """The weights: three tables of features, two flags, transitions."""
 
     def __init__(self, seed: int = 3):
-        rows = labelled_table(seed=seed)
+        rows = sorted(labelled_table(seed=seed), key=lambda r: -len(r[0]))  # the longest first
         n, k, longest = len(rows), len(LABELS), max(len(w) for w, _ in rows)
         forms: dict[str, int] = {}
         ids = np.zeros((n, longest + 2), np.int64)
@@ -294,9 +294,9 @@ class Model:
             start = np.bincount(gold[:, 0], minlength=k) - first
             grads = {"move": pairs - two, "start": start.astype(np.float32), "flag": np.stack([(flags[i][..., None] * delta).sum((0, 1)) for i in (0, 1)])}
             for name, off in (("prev", 0), ("cur", 1), ("next", 2)):
-                by_form = np.zeros((len(table), k), np.float32)
-                np.add.at(by_form, ids[:, off : off + longest].ravel(), delta.reshape(-1, k))
-                grads[name] = design.T @ by_form
+                forms_here, parts = ids[:, off : off + longest][mask], delta[mask]
+                by_form = np.stack([np.bincount(forms_here, parts[:, label], len(table)) for label in range(k)], 1)
+                grads[name] = design.T @ by_form.astype(np.float32)
             for name, grad in grads.items():
                 grad = grad / n - (CONTEXT if name in ('prev', 'next') else RIDGE) * weights[name]
                 m, v = moments[name]
@@ -316,21 +316,24 @@ class Model:
         moves = np.exp(move)
         alpha = np.zeros_like(heat)
         beta = np.ones_like(heat)
+        live = mask.sum(0)  # rows are sorted by length: at step t the first live[t] of them go on
         alpha[:, 0] = heat[:, 0] * np.exp(start)
         alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
         for t in range(1, longest):
-            a = (alpha[:, t - 1] @ moves) * heat[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], a / a.sum(1, keepdims=True), alpha[:, t - 1])
+            m = live[t]
+            a = (alpha[:m, t - 1] @ moves) * heat[:m, t]
+            alpha[:m, t] = a / a.sum(1, keepdims=True)
         for t in range(longest - 2, -1, -1):
-            b = (beta[:, t + 1] * heat[:, t + 1]) @ moves.T
-            beta[:, t] = np.where(mask[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
+            m = live[t + 1]
+            b = (beta[:m, t + 1] * heat[:m, t + 1]) @ moves.T
+            beta[:m, t] = b / b.sum(1, keepdims=True)
         one = alpha * beta
-        one /= one.sum(2, keepdims=True)
+        one /= np.maximum(one.sum(2, keepdims=True), 1e-30)
         two = np.zeros((k, k), np.float32)
         for t in range(1, longest):
-            joint = alpha[:, t - 1, :, None] * moves * (heat[:, t] * beta[:, t])[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            two += (joint * mask[:, t, None, None]).sum(0)
+            m = live[t]
+            joint = alpha[:m, t - 1, :, None] * moves * (heat[:m, t] * beta[:m, t])[:, None, :]
+            two += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         return one, two, one[:, 0].sum(0)
 
 
