@@ -710,9 +710,21 @@ def extracted_documents(spark, d):
     return parse.extract_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_PRIOR = "(?i)(prior|previous) doc"
+_DAY = r"\b[0-9]{2}-[A-Z][a-z]{2}-[0-9]{4}\b"
+
+
+@query(
+    rf"""WITH {_LINES}, f AS (SELECT page_id, line_no, line, bool_or(regexp_matches(line, '{_DAY}')) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS dated,
+  coalesce(regexp_matches(lag(line) OVER (PARTITION BY page_id ORDER BY line_no), '{_PRIOR}'), FALSE) AS prior FROM lines),
+ a AS (SELECT *, sum((regexp_matches(line, '\b[0-9]{{1,6}}/[0-9]{{4}}\b') AND NOT regexp_matches(line, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AND NOT prior AND dated AND NOT regexp_matches(line, '{_PRIOR}'))::INT) OVER (PARTITION BY page_id ORDER BY line_no) AS entry FROM f),
+ t AS (SELECT page_id, entry, string_agg(line, ' ' ORDER BY line_no) AS text, min(line_no) AS first_line, max(line_no) AS last_line FROM a WHERE entry > 0 GROUP BY page_id, entry)
+ SELECT page_id, CAST(entry AS BIGINT) AS entry, CAST(first_line AS INTEGER) AS first_line, CAST(last_line AS INTEGER) AS last_line, regexp_extract(text, '(\b[0-9]{{1,6}}/[0-9]{{4}}\b)', 1) AS doc_no,
+  CAST(CAST(try_strptime(regexp_extract(text, '({_DAY})', 1), '%d-%b-%Y') AS DATE) AS VARCHAR) AS date,
+  nullif(regexp_extract(text, '(?i)(mortgage|settlement|lease|power of attorney|deposit of title deeds|loan)', 1), '') AS nature FROM t"""
+)
 def line_entries(spark, d):
-    return parse.line_entries(documents.lines(table(spark, d, "ec"), "page_id", "content"), "page_id")
+    return _dates_as_text(parse.line_entries(documents.lines(table(spark, d, "ec"), "page_id", "content"), "page_id"))
 
 
 @query("SELECT l_orderkey, count(*) AS members, count(*) FILTER (regexp_matches(lower(l_returnflag), 'n|a')) AS accounted, coalesce(string_agg(DISTINCT CASE WHEN NOT regexp_matches(lower(l_returnflag), 'n|a') THEN CAST(l_suppkey AS VARCHAR) END, ',' ORDER BY CASE WHEN NOT regexp_matches(lower(l_returnflag), 'n|a') THEN CAST(l_suppkey AS VARCHAR) END), '') AS missing, count(*) = count(*) FILTER (regexp_matches(lower(l_returnflag), 'n|a')) AS complete FROM lineitem GROUP BY l_orderkey")
