@@ -214,18 +214,26 @@ def supplement(groups: list[str], size: int = SUPPLEMENT, seed: int = 5) -> list
     return rows
 
 
-def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = ()) -> list[list[str]]:
+def _bigrams(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = (), data: list[tuple[list[str], int]] = ()) -> list[list[str]]:
     """Windows of the drawn documents that stand for ordinary text: no listed word, no masked
-    word, and no word in small letters that fewer than one in 500 of these documents has (one
+    word, and no word in small letters that fewer than one in 200 of these documents has (one
     such word is allowed in Tamil, where names have no capitals). What is rare stays out, so
-    that abusive passages among the drawn documents are not taken for ordinary."""
+    that abusive passages among the drawn documents are not taken for ordinary; for the same
+    reason a window stays out that has three or more pairs of words which only the foul samples
+    of ``data`` have. All windows of ``sober`` texts, known to be harmless, are ordinary."""
+    calm = set().union(*(_bigrams(w) for w, label in data if label < 0), *(_bigrams(words_of(t)) for t in sober))
+    foul = set().union(*(_bigrams(w) for w, label in data if label >= 0)) - calm
     listed = {*_FOOL, *_BAD, *_OATH, *_DIRT, *_TAMIL_FOOL, *_LATIN_TAMIL, "whore", "slut", *(g.lower() for g in groups)}
     listed |= {w + "s" for w in listed}
     common: dict[str, int] = {}
     for text in texts:
         for w in {w for w in words_of(text)}:
             common[w] = common.get(w, 0) + 1
-    least = max(3, len(texts) / 500)
+    least = max(3, len(texts) / 200)
     small = {w for text in texts for piece in re.findall(r"(?<![\w.])[a-z]{3,}", text) for w in (piece,)}
     windows = []
     for text in sober:
@@ -237,6 +245,8 @@ def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = ())
             part = words[a : a + WINDOW]
             if not part or listed.intersection(part) or any("*" in w for w in part):
                 continue
+            if len(foul & _bigrams(part)) >= 3:
+                continue
             rare = [w for w in part if common[w] < least]
             if not any(w in small for w in rare) and sum(not w.isascii() for w in rare) <= 1:
                 windows.append(part)
@@ -477,7 +487,7 @@ _MODELS: dict[int, Network] = {}
 def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str], sober: list[str] = ()) -> Network:
     """Training in two parts: with a draw of ordinary windows, then with those ordinary windows
     that the first part scores highest."""
-    windows = ordinary_windows(texts, groups, sober)
+    windows = ordinary_windows(texts, groups, sober, data)
     order = np.random.default_rng(7).permutation(len(windows))
     drawn = [(windows[i], -1) for i in order[:ORDINARY]]
     data = [(w, c) for w, c in data if w]
