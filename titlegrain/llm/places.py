@@ -28,11 +28,11 @@ THRESHOLD, MARGIN, EDITS, SHARE = 0.08, 0.05, 3, 0.3
 # Words that only name the kind of a place, and abbreviations written out.
 KIND_WORDS = r"\b(?:village|vill|vlg|gramam|kiramam|post|district|dist|dt|mavattam|zone|regn|region|mandalam|taluk|town|v|d|z)\b"
 ABBREVIATIONS = [
-    (r"\bn\b", "north"),
-    (r"\bs\b", "south"),
-    (r"\be\b", "east"),
-    (r"\bw\b", "west"),
-    (r"\b(?:c|cent|centr)\b", "central"),
+    (r"\bn *$", "north"),
+    (r"\bs *$", "south"),
+    (r"\be *$", "east"),
+    (r"\bw *$", "west"),
+    (r"\b(?:c|cent|centr) *$", "central"),
     (r"pkm\b", "pakkam"),
     (r"thr\b", "thurai"),
     (r"(?<!p)plm\b", "palayam"),
