@@ -56,6 +56,18 @@ def test_large_certificates_give_the_same(spark, monkeypatch):
     assert links(spark, ROWS, HEADS) == want
 
 
+def test_over_full_blocks_lose_nothing(spark, monkeypatch):
+    """Firms that share a last word and persons that share an ending, some with a slip: more than a part holds."""
+    firms = ["Kuringi Traders", "Kurngi Traders", "Kalumani Traders", "Korpede Traders", "Kenumkudi Traders", "Kenumkdi Traders"]
+    people = ["K. Gunaselvi", "K. Gunselvi", "K. Gunamukiselvi", "K. Gunarulselvi", "K. Gunarlselvi", "K. Gunponselvi"]
+    rows = [("d", i, f"1. {f} Limited", f"1. {p}", "1/1") for i, (f, p) in enumerate(zip(firms, people), 1)]
+    monkeypatch.setattr(N, "GROUP_LIMIT", 2)
+    monkeypatch.setattr(N, "BLOCK_LIMIT", 2)
+    got = links(spark, rows)
+    assert got == brute(rows, [])
+    assert ("d#1#e#1", "d#2#e#1") in got and ("d#5#e#1", "d#6#e#1") in got and ("d#1#c#1", "d#2#c#1") in got
+
+
 def test_empty(spark):
     assert links(spark, []) == set()
 

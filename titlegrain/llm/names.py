@@ -4,9 +4,8 @@ Method: suffix blocking. Every mention is parsed into a signature (person, organ
 or court; name folded to one rough phonetic Latin form, also from Tamil script; initial or
 parent; acronym). Mentions to be compared share a block: the last letters of a name token
 (the shortest indexed suffix stands for all longer ones), its first letters, or an
-acronym. A suffix shared by too many signatures is refined with other fields (longer
-suffix and initial) before it may be discarded; the whole name with its initial always
-stays a block. Pairs of a block are compared by the ratio of the longest common
+acronym. No block is discarded: one shared by many signatures is cut into parts, and every
+two parts are compared. Pairs of a block are compared by the ratio of the longest common
 subsequence; two spellings that are both common in the whole corpus are different names.
 
 Plan: mentions are parsed once and checkpointed; certificates of at most ``GROUP_LIMIT``
@@ -29,7 +28,7 @@ from titlegrain.llm import encodings
 from titlegrain.nulls import missing
 from titlegrain.session import cut
 
-#: Most mentions of a certificate compared in one task; most signatures of one block.
+#: Most mentions of a certificate compared in one task; signatures of one part of a block.
 GROUP_LIMIT, BLOCK_LIMIT = 400, 100
 #: Least indexed suffix, indexed prefix.
 SUFFIX, PREFIX = 4, 3
@@ -181,23 +180,6 @@ def block_keys(sig: str) -> list[str]:
     return list(dict.fromkeys(keys))
 
 
-def refined_keys(sig: str) -> list[str]:
-    """For the keys of ``block_keys`` that are too common: longer suffixes with another field."""
-    if sig[0] != "P":
-        return ["w" + sig]
-    keys = []
-    for given, parent in _people(sig)[0]:
-        keys += [f"S{given[-SUFFIX - 2:]}|{parent[:1]}", f"P{given[: PREFIX + 2]}|{parent[:1]}"]
-    return list(dict.fromkeys(keys))
-
-
-def whole_keys(sig: str) -> list[str]:
-    """Never discarded: the whole name with its initial, and without."""
-    if sig[0] != "P":
-        return ["w" + sig]
-    return list(dict.fromkeys(k for given, parent in _people(sig)[0] for k in (f"g{given}|{parent[:1]}", f"g{given}")))
-
-
 def folded_acronym(text: str) -> str:
     return "".join(folded(c) or c for c in text)[:3]
 
@@ -360,15 +342,30 @@ def linked(entries: DataFrame, headers: DataFrame) -> DataFrame:
         for a, b in batches:
             yield pd.Series([judge.same(x, y) for x, y in zip(a, b)], dtype=bool)
 
+    @F.pandas_udf("array<string>")
+    def within(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        judge = Judge(known.value)
+        for columns in batches:
+            yield pd.Series([_pairs_of_cell(*row, judge) for row in zip(*columns)])
+
     small = parsed.join(large, "doc_id", "left_anti")
     rows = small.groupBy("doc_id").agg(F.collect_list(F.struct(F.coalesce("survey", F.lit("~")).alias("survey"), "mention", "item", "sig")).alias("m"))
     rows = rows.filter(F.size("m") > 1).select(compare(F.transform("m.survey", lambda s: F.when(s != "~", s)), "m.mention", "m.item", "m.sig").alias("pairs"))
     found = rows.select(F.explode("pairs").alias("pair")).select(F.split("pair", "\t")[0].alias("name_key_a"), F.split("pair", "\t")[1].alias("name_key_b"))
-    return found.unionByName(_linked_large(cut(parsed.join(large, "doc_id")), same)).distinct()
+    return found.unionByName(_linked_large(cut(parsed.join(large, "doc_id")), same, within)).distinct()
+
+
+def _pairs_of_cell(parts, sigs, judge: Judge) -> list[str]:
+    """The linked pairs of a cell: of two parts those across, of one part all."""
+    one = len(set(parts)) == 1
+    rows = sorted(zip(sigs, parts))
+    return [f"{a}\t{b}" for at, (a, p) in enumerate(rows) for b, q in rows[at + 1 :] if (one or p != q) and judge.same(a, b)]
 
 
-def _linked_large(parsed: DataFrame, same) -> DataFrame:
-    """The pairs of certificates with many mentions: blocks are keys of a join."""
+def _linked_large(parsed: DataFrame, same, within_cell) -> DataFrame:
+    """The pairs of certificates with many mentions. Every two signatures of a block meet: it is
+    cut into parts of about ``BLOCK_LIMIT`` by hash, and each pair of parts is a cell of its own,
+    so that a common block is spread over many tasks and only linked pairs leave a cell."""
     classes = parsed.filter("survey IS NOT NULL AND survey <> '#'").select("doc_id", "survey", "sig").distinct()
     applicants = parsed.filter("survey = '#'").select("doc_id", "survey", "sig").distinct()
 
@@ -376,29 +373,19 @@ def _linked_large(parsed: DataFrame, same) -> DataFrame:
     def first(sigs: pd.Series) -> pd.Series:
         return sigs.map(block_keys)
 
-    @F.pandas_udf("array<string>")
-    def second(sigs: pd.Series) -> pd.Series:
-        return sigs.map(refined_keys)
-
-    @F.pandas_udf("array<string>")
-    def third(sigs: pd.Series) -> pd.Series:
-        return sigs.map(whole_keys)
-
-    def limited(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows of blocks within the limit, and the rest."""
-        over = keyed.groupBy("doc_id", "survey", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_LIMIT).select("doc_id", "survey", "key")
-        return keyed.join(over, ["doc_id", "survey", "key"], "left_anti"), keyed.join(over, ["doc_id", "survey", "key"], "left_semi")
-
-    keyed, common = limited(classes.withColumn("key", F.explode(first("sig"))))
-    again, _ = limited(common.select("doc_id", "survey", "sig").distinct().withColumn("key", F.explode(second("sig"))))
-    whole = common.select("doc_id", "survey", "sig").distinct().withColumn("key", F.explode(third("sig")))
-    blocks = keyed.unionByName(again).unionByName(whole)
-    other = blocks.withColumnRenamed("sig", "sig_b")
-    pairs = blocks.join(other, ["doc_id", "survey", "key"]).filter("sig < sig_b").select("doc_id", "survey", F.col("survey").alias("survey_b"), "sig", "sig_b").distinct()
+    block = ["doc_id", "survey", "key"]
+    keyed = classes.withColumn("key", F.explode(first("sig")))
+    over = keyed.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK_LIMIT).cast("int").alias("parts")).filter("parts > 1")
+    salted = keyed.join(over, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
+    spread = salted.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = spread.groupBy(*block, F.least("part", "met").alias("low"), F.greatest("part", "met").alias("high")).agg(F.collect_list(F.struct("part", "sig")).alias("m"))
+    # a cell of two parts of which one is empty has nothing across
+    cells = cells.filter((F.size("m") > 1) & ((F.col("low") == F.col("high")) | (F.array_min("m.part") < F.array_max("m.part"))))
+    found = cells.select("doc_id", "survey", F.explode(within_cell("m.part", "m.sig")).alias("pair")).distinct()
+    pairs = found.select("doc_id", "survey", F.col("survey").alias("survey_b"), F.split("pair", "\t")[0].alias("sig"), F.split("pair", "\t")[1].alias("sig_b"))
     asked = applicants.withColumn("key", F.explode(first("sig"))).select("doc_id", F.col("survey"), "sig", "key")
     entry = parsed.filter("survey IS NULL OR survey <> '#'").select("doc_id", F.coalesce("survey", F.lit("~")).alias("survey_b"), F.col("sig").alias("sig_b")).distinct().withColumn("key", F.explode(first("sig_b")))
-    pairs = pairs.unionByName(asked.join(entry, ["doc_id", "key"]).select("doc_id", "survey", "survey_b", "sig", "sig_b").distinct())
-    linked = pairs.filter(same("sig", "sig_b"))
+    linked = pairs.unionByName(asked.join(entry, ["doc_id", "key"]).select("doc_id", "survey", "survey_b", "sig", "sig_b").distinct().filter(same("sig", "sig_b")))
     left = parsed.select("doc_id", F.coalesce("survey", F.lit("~")).alias("survey"), "sig", F.col("mention").alias("ma"), F.col("item").alias("ia"))
     right = left.select("doc_id", F.col("survey").alias("survey_b"), F.col("sig").alias("sig_b"), F.col("ma").alias("mb"), F.col("ia").alias("ib"))
     across = linked.join(left, ["doc_id", "survey", "sig"]).join(right, ["doc_id", "survey_b", "sig_b"]).filter("ia <> ib")
