@@ -52,6 +52,20 @@ def test_loans(reg, spark):
     assert rows(R.loan_match_after(early), "discharge_seq") == [(None,)]
 
 
+def test_loans_by_any_party(spark):
+    """Later parties, other spellings, words within words, and entries without a schedule close a loan too."""
+    lists = [
+        row("x", 1, "1/2001", "Simple mortgage", "1. P. Aaaa 2. Singamathi R", "1. Example Holdings Ltd"),
+        row("x", 2, "2/2001", "Simple mortgage", "1. Velumani", "1. First Bank"),
+        row("x", 3, "3/2001", "Simple mortgage", "1. Nobody", "1. First Bank"),
+        row("x", 4, "4/2002", "Receipt", "1. Example Holdings Limited", "1. Tmt. Singamathi, wife of R", survey=None),
+        row("x", 5, "5/2002", "Receipt", "1. Other Banking Company", "1. K. Velumanickam 2. Velumani", survey="9/9"),
+    ]
+    reg = R.register(spark.createDataFrame(lists, SCHEMA))
+    assert rows(R.loan_match_first(reg), "seq", "discharge_seq") == [(1, 4), (2, 5), (3, None)]
+    assert rows(R.loan_status(reg), "loans", "closed", "open") == [(3, 2, 1)]
+
+
 def test_one_discharge_is_used_once(spark):
     two = [row("x", 1, "1/2001", "Simple mortgage", "1. A", "1. B Bank"), row("x", 2, "2/2001", "Simple mortgage", "1. A", "1. B Bank"), row("x", 3, "3/2002", "Receipt", "1. B Bank", "1. A")]
     assert rows(R.loan_match_rank(R.register(spark.createDataFrame(two, SCHEMA))), "seq", "discharge_seq") == [(1, 3), (2, None)]

@@ -127,26 +127,62 @@ def _party_links(reg: DataFrame, kind: str, lender: str, borrower: str) -> DataF
     return reg.filter(is_kind(kind)).select("doc_id", "survey_no", key(lender).alias("lender"), key(borrower).alias("borrower"), "seq")
 
 
-def loan_match_first(reg: DataFrame) -> DataFrame:
+def _words(*cols: str) -> Column:
+    """The distinct words over three letters, between blanks as written, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *cols)), r"\s+"), lambda w: F.length(w) > 3))
+
+
+def _holding(words: DataFrame, longer: DataFrame) -> DataFrame:
+    """``word, whole``: the words of ``longer`` that hold a word; met by its first four letters."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("whole") - 3), lambda i: F.col("whole").substr(i, F.lit(4)))
+    met = longer.distinct().withColumn("k", F.explode(F.array_distinct(grams)))
+    return words.distinct().withColumn("k", F.substring("word", 1, 4)).join(met, "k").filter(F.contains("whole", "word")).select("word", "whole")
+
+
+def _paid_by_words(reg: DataFrame) -> DataFrame:
+    """``doc_id, seq, by_words``: the first discharge whose executants hold a word of the lender,
+    or ``bank`` where both do, and whose claimants hold a word of the borrower.
+
+    Every deed emits pairs of words; the discharges keep the first of each pair and certificate,
+    so that a mortgage meets one row a pair and no pairs of deeds are made.
+    """
+    bank = lambda c: F.when(F.contains(F.lower(c), F.lit("bank")), F.array(F.lit(" bank"))).otherwise(F.array().cast("array<string>"))
+    owed = reg.filter(is_kind("mortgage")).select("doc_id", "seq", _words("claimants").alias("l"), _words("executants").alias("b"), bank("claimants").alias("mark"))
+    paid = reg.filter(is_kind("discharge")).select("doc_id", "seq", _words("executants").alias("l"), _words("claimants").alias("b"), bank("executants").alias("mark"))
+    said = F.explode(F.array_union("l", "b"))
+    held = _holding(owed.select(said.alias("word")), paid.select(said.alias("whole")))
+    keys = lambda c: paid.select("doc_id", "seq", F.explode(c).alias("whole")).join(held, "whole").select("doc_id", "seq", F.col("word").alias(c)).distinct()
+    lenders = keys("l").unionByName(paid.select("doc_id", "seq", F.explode("mark").alias("l")))
+    first = lenders.join(keys("b"), ["doc_id", "seq"]).groupBy("doc_id", "l", "b").agg(F.min("seq").alias("by_words"))
+    asked = owed.select("doc_id", "seq", F.explode(F.concat("l", "mark")).alias("l"), "b").withColumn("b", F.explode("b"))
+    return asked.join(first, ["doc_id", "l", "b"]).groupBy("doc_id", "seq").agg(F.min("by_words").alias("by_words"))
+
+
+def loan_match_first(reg: DataFrame, parties: str = "words") -> DataFrame:
     """The first discharge, in register order, of every mortgage; NULL where it is open.
 
     A discharge fits if it refers to the mortgage's document, also in the two-digit form, or
-    if its executant and claimant are the lender and the borrower for the same survey number.
-    No condition on order. Every deed emits its keys once (documents referred to, pair of
-    parties with survey number); a window by key finds the first discharge of each, so that
-    one scan and fine keys do and no pairs are made.
+    by its parties: a word over three letters of the lender in its executants (or ``bank`` in
+    both) and one of the borrower in its claimants. ``parties="first"`` is a narrower rule, that
+    of the query's SQL: the first executant and claimant are the first lender and borrower, for
+    the same survey number. No condition on order. Every deed emits its keys once (documents
+    referred to, pair of parties with survey number); a window by key finds the first discharge
+    of each, so that one scan and fine keys do and no pairs are made.
     """
     party = lambda c: S.party_key(F.try_element_at(S.party_items(F.col(c)), F.lit(1)))
     owed, paid = is_kind("mortgage"), is_kind("discharge")
     lender = F.when(owed, party("claimants")).otherwise(party("executants"))
     borrower = F.when(owed, party("executants")).otherwise(party("claimants"))
-    pair = F.concat(F.lit("p|"), F.col("survey_no"), F.lit("|"), lender, F.lit("|"), borrower)
+    pair = F.concat(F.lit("p|"), F.col("survey_no"), F.lit("|"), lender, F.lit("|"), borrower) if parties == "first" else F.lit(None).cast("string")
     refs = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "pr_numbers", "remarks"), F.lit(r"([0-9]{1,6}/[0-9]{2,4})\b"), F.lit(1)))
     own = F.when(owed, _doc_keys(F.col("doc_no"))).otherwise(refs)
     keys = F.concat(F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda k: F.concat(F.lit("r|"), k)), F.array_compact(F.array(pair, F.when(owed, F.concat(F.lit("m|"), F.col("seq").cast("string"))))))
     rows = reg.filter(owed | paid).select("doc_id", "seq", "doc_no", owed.alias("owed"), F.explode(keys).alias("key"))
     first = F.min(F.when(~F.col("owed"), F.col("seq"))).over(Window.partitionBy("doc_id", "key"))
-    return rows.withColumn("found", first).filter("owed").groupBy("doc_id", "seq").agg(F.first("doc_no").alias("doc_no"), F.min("found").alias("discharge_seq"))
+    found = rows.withColumn("found", first).filter("owed").groupBy("doc_id", "seq").agg(F.first("doc_no").alias("doc_no"), F.min("found").alias("discharge_seq"))
+    if parties == "first":
+        return found
+    return found.join(_paid_by_words(reg), ["doc_id", "seq"], "left").select("doc_id", "seq", "doc_no", F.least("discharge_seq", "by_words").alias("discharge_seq"))
 
 
 def loan_match_after(reg: DataFrame) -> DataFrame:
@@ -169,9 +205,9 @@ def loan_match_rank(reg: DataFrame) -> DataFrame:
     return owed.join(paid, [*keys, "rank"], "left").select("doc_id", "survey_no", "seq", "rank", "discharge_seq")
 
 
-def loan_status(reg: DataFrame) -> DataFrame:
+def loan_status(reg: DataFrame, parties: str = "words") -> DataFrame:
     """A1: loans of each certificate, closed, open, share closed in per cent (half up)."""
-    loans = loan_match_first(reg).groupBy("doc_id").agg(F.count("*").alias("loans"), F.count("discharge_seq").alias("closed"))
+    loans = loan_match_first(reg, parties).groupBy("doc_id").agg(F.count("*").alias("loans"), F.count("discharge_seq").alias("closed"))
     court = reg.groupBy("doc_id").agg(F.count("*").alias("entries"), F.count_if(is_kind("court")).alias("court_cases"))
     joined = court.join(loans, "doc_id", "left").na.fill(0, ["loans", "closed"])
     return joined.select("doc_id", "entries", "loans", "closed", (F.col("loans") - F.col("closed")).alias("open"), "court_cases", F.round(F.coalesce(F.try_divide(F.col("closed") * 100.0, F.col("loans")), F.lit(0.0)), 1).alias("closed_pct"))

@@ -186,6 +186,19 @@ def references(spark, d):
 
 @query(f"WITH {_LOANS} SELECT * FROM loans")
 def loan_match_first(spark, d):
+    return register.loan_match_first(_reg(spark, d), "first")
+
+
+_WORD_IN = lambda a, b: f"len(list_filter(regexp_split_to_array(lower(coalesce({a}, '')), '\\s+'), lambda w: length(w) > 3 AND contains(lower(coalesce({b}, '')), w))) > 0"
+
+
+@query(
+    f"""WITH {_REG}, m AS (SELECT *, {_KEYS} AS keys FROM reg WHERE {_kind('mortgage')}), d AS (SELECT *, {_REFS} AS refs FROM reg WHERE {_kind('discharge')})
+ SELECT m.doc_id, m.seq, any_value(m.doc_no) AS doc_no, min(d.seq) AS discharge_seq FROM m LEFT JOIN d ON d.doc_id = m.doc_id AND (list_has_any(d.refs, m.keys)
+  OR (({_WORD_IN('m.claimants', 'd.executants')} OR (contains(lower(m.claimants), 'bank') AND contains(lower(d.executants), 'bank'))) AND {_WORD_IN('m.executants', 'd.claimants')})) GROUP BY m.doc_id, m.seq"""
+)
+def loan_match_words(spark, d):
+    """J1 with its whole party rule; ``loan_match_first`` keeps the narrower one of its SQL."""
     return register.loan_match_first(_reg(spark, d))
 
 
@@ -216,7 +229,7 @@ def loan_match_rank(spark, d):
   round(coalesce(closed * 100.0 / nullif(loans, 0), 0.0)::DOUBLE, 1) AS closed_pct FROM c LEFT JOIN s USING (doc_id)"""
 )
 def loan_status(spark, d):
-    return register.loan_status(_reg(spark, d))
+    return register.loan_status(_reg(spark, d), "first")
 
 
 def _holder_sql(unit: str) -> str:
