@@ -121,3 +121,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sum(parts.values()) == 200 and parts["train"] > 130 and set(parts) == {"train", "validation", "test"}
     (tmp_path / "f.bin").write_bytes(b"123")
     assert readers.uploads(spark, str(tmp_path), "*.bin").select("length", "extension").first() == (3, "bin")
+
+
+def test_entries_held_by_values(spark, monkeypatch):
+    """A kind word behind a short name; slips at both ends, also in a list too large to broadcast."""
+    values = spark.createDataFrame([("Mekoyoo Mavattam",), ("sorp",), ("xorpedx",), ("abcdefghij",), ("q",)], "v string")
+    names = spark.createDataFrame([("Sorpede",), ("Mekoyoo",), ("Lenumkudi",), ("",), (None,)], "n string")
+    want = {"mekoyoo mavattam": ("Mekoyoo", 9), "sorp": ("Sorpede", 3), "xorpedx": ("Sorpede", 2)}
+    look = lambda: {r["value"]: (r["entry"], r["edits"]) for r in lookup.nearest_entry(values, "v", names, "n").collect()}
+    assert look() == want
+    monkeypatch.setattr(lookup, "small_enough", lambda df: False)
+    assert look() == want

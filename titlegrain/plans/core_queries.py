@@ -579,6 +579,15 @@ def boundary_clauses(spark, d):
  s AS (SELECT value, entry, levenshtein(value, low) AS edits FROM a, b) SELECT value, entry, CAST(edits AS INTEGER) AS edits FROM s WHERE edits <= greatest(2, length(value) // 2) QUALIFY row_number() OVER (PARTITION BY value ORDER BY edits, entry) = 1"""
 )
 def dict_fuzzy(spark, d):
+    return lookup.nearest_entry(table(spark, d, "ec_header"), "district", table(spark, d, "place_ref").filter("place_kind = 'district'"), "place_name", contained=False)
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT lower(trim(district)) AS value FROM ec_header WHERE trim(coalesce(district, '')) <> ''), b AS (SELECT DISTINCT place_name AS entry, lower(trim(place_name)) AS low FROM place_ref WHERE place_kind = 'district' AND trim(place_name) <> ''),
+ s AS (SELECT value, entry, low, contains(value, low) OR contains(low, value) AS held, levenshtein(value, low) AS edits FROM a, b) SELECT value, entry, CAST(edits AS INTEGER) AS edits FROM s WHERE held OR edits <= greatest(2, length(low) // 2) QUALIFY row_number() OVER (PARTITION BY value ORDER BY held DESC, edits, entry) = 1"""
+)
+def dict_contained(spark, d):
+    """J11 with its substring pass; ``dict_fuzzy`` keeps the narrower rule of its SQL."""
     return lookup.nearest_entry(table(spark, d, "ec_header"), "district", table(spark, d, "place_ref").filter("place_kind = 'district'"), "place_name")
 
 
