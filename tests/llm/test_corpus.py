@@ -58,6 +58,20 @@ def tables(spark, data):
     return spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/abuse_labels.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
 
 
+def test_abuse_counts_cover_all_distinct_texts(spark, monkeypatch):
+    """A hot copied text counts once, words of texts not drawn count too."""
+    texts = ["hot zzorb text"] * 50 + [f"calm plain words {i}" for i in range(20)] + ["a Zzorb and a hot text"]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    seen = {}
+    monkeypatch.setattr(A, "DRAWN", 3)
+    monkeypatch.setattr(A, "learned", lambda data, texts, groups, sober, counted: seen.update(texts=texts, counted=counted))
+    A.trained(spark.createDataFrame([], "sample_id int, sample_text string, category string"), docs)
+    assert len(seen["texts"]) == len(set(seen["texts"])) == 3
+    common, small, total = A.rarity(docs, ["hot zzorb calm"])
+    assert common == {"hot": 2, "zzorb": 2, "calm": 20} and small == {"hot", "zzorb", "calm"} and total == 22
+    assert seen["counted"][2] == 22
+
+
 def test_abuse_held_out(spark, tables):
     docs, labels, _ = tables
     cut = labels.filter("sample_id % 3 <> 0")

@@ -218,10 +218,31 @@ def _bigrams(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
 
 
-def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = (), data: list[tuple[list[str], int]] = ()) -> list[list[str]]:
+def rarity(documents: DataFrame, texts: list[str]) -> tuple[dict[str, int], set[str], int]:
+    """How many distinct texts of all documents have each word of ``texts``, which of these words
+    any of them has in small letters, and the number of distinct texts. Only words of
+    ``texts``, a bounded draw, come to the driver."""
+    asked = {w for t in texts for w in words_of(t)}
+    if not asked:
+        return {}, set(), 0
+
+    @F.pandas_udf("array<string>")
+    def said(texts: pd.Series) -> pd.Series:
+        # the distinct words of a text, marked =, and those it has in small letters, marked ~
+        return texts.map(lambda t: ["=" + w for w in set(words_of(t))] + ["~" + w for w in set(re.findall(r"(?<![\w.])[a-z]{3,}", t))])
+
+    spark = documents.sparkSession
+    whole = documents.select("text").filter("text <> ''").distinct()
+    wanted = spark.createDataFrame([(m + w,) for w in asked for m in "=~"], "word string")
+    counts = whole.select(F.explode(said("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi").collect()
+    common = {r["word"][1:]: r["n"] for r in counts if r["word"][0] == "="}
+    return common, {r["word"][1:] for r in counts if r["word"][0] == "~"}, whole.count()
+
+
+def ordinary_windows(texts: list[str], groups: list[str], sober: list[str], data: list[tuple[list[str], int]], common: dict[str, int], small: set[str], total: int) -> list[list[str]]:
     """Windows of the drawn documents that stand for ordinary text: no listed word, no masked
-    word, and no word in small letters that fewer than one in 200 of these documents has (one
-    such word is allowed in Tamil, where names have no capitals). What is rare stays out, so
+    word, and no word in small letters that fewer than one in 200 of all distinct texts has
+    (``common``, ``small`` and ``total`` come from ``rarity``; one such word is allowed in Tamil, where names have no capitals). What is rare stays out, so
     that abusive passages among the drawn documents are not taken for ordinary; for the same
     reason a window stays out that has three or more pairs of words which only the foul samples
     of ``data`` have. All windows of ``sober`` texts, known to be harmless, are ordinary."""
@@ -229,12 +250,7 @@ def ordinary_windows(texts: list[str], groups: list[str], sober: list[str] = (),
     foul = set().union(*(_bigrams(w) for w, label in data if label >= 0)) - calm
     listed = {*_FOOL, *_BAD, *_OATH, *_DIRT, *_TAMIL_FOOL, *_LATIN_TAMIL, "whore", "slut", *(g.lower() for g in groups)}
     listed |= {w + "s" for w in listed}
-    common: dict[str, int] = {}
-    for text in texts:
-        for w in {w for w in words_of(text)}:
-            common[w] = common.get(w, 0) + 1
-    least = max(3, len(texts) / 200)
-    small = {w for text in texts for piece in re.findall(r"(?<![\w.])[a-z]{3,}", text) for w in (piece,)}
+    least = max(3, total / 200)
     windows = []
     for text in sober:
         words = words_of(text)
@@ -484,10 +500,10 @@ class Scorer:
 _MODELS: dict[int, Network] = {}
 
 
-def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str], sober: list[str] = ()) -> Network:
+def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str], sober: list[str], counted: tuple[dict[str, int], set[str], int]) -> Network:
     """Training in two parts: with a draw of ordinary windows, then with those ordinary windows
     that the first part scores highest."""
-    windows = ordinary_windows(texts, groups, sober, data)
+    windows = ordinary_windows(texts, groups, sober, data, *counted)
     order = np.random.default_rng(7).permutation(len(windows))
     drawn = [(windows[i], -1) for i in order[:ORDINARY]]
     data = [(w, c) for w, c in data if w]
@@ -501,11 +517,12 @@ def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[st
 
 def trained(labels: DataFrame, documents: DataFrame, sober: DataFrame | None = None) -> Network:
     """The network fitted to at most ``LABELLED`` labelled rows, the supplement, and windows
-    of at most ``DRAWN`` documents, and of as many ``sober`` texts, as ordinary text."""
+    of at most ``DRAWN`` distinct texts, and of as many ``sober`` ones, as ordinary text."""
     rows = labels.select("sample_text", "category").filter("sample_text IS NOT NULL AND category IS NOT NULL").orderBy("sample_id").limit(LABELLED).collect()
-    texts = documents.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()
-    calm = [] if sober is None else [r["text"] for r in sober.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()]
-    key = hash((tuple(calm), tuple((r["sample_text"], r["category"]) for r in rows), tuple(r["text"] for r in texts)))
+    texts = documents.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).distinct().orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()
+    calm = [] if sober is None else [r["text"] for r in sober.select("text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)).distinct().orderBy(F.xxhash64("text"), "text").limit(DRAWN).collect()]
+    counted = rarity(documents, [r["text"] for r in texts])
+    key = hash((tuple(calm), frozenset(counted[0].items()), frozenset(counted[1]), counted[2], tuple((r["sample_text"], r["category"]) for r in rows), tuple(r["text"] for r in texts)))
     if key in _MODELS:
         return _MODELS[key]
     # Names of groups: capitalised words of hateful samples that no other sample has.
@@ -515,7 +532,7 @@ def trained(labels: DataFrame, documents: DataFrame, sober: DataFrame | None = N
     index = {c: i for i, c in enumerate(CATEGORIES)}
     data = [(words_of(r["sample_text"])[:WINDOW], index.get(r["category"], -1)) for r in rows] * 3
     data += [(words_of(t)[:WINDOW], index.get(c, -1)) for t, c in supplement(groups)]
-    network = learned(data, [r["text"] for r in texts], groups, calm)
+    network = learned(data, [r["text"] for r in texts], groups, calm, counted)
     _MODELS[key] = network
     return network
 
