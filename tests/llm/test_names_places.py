@@ -1,3 +1,5 @@
+import pytest
+
 from titlegrain.llm import names as N
 from titlegrain.llm import places as P
 
@@ -68,6 +70,16 @@ def test_over_full_blocks_lose_nothing(spark, monkeypatch):
     assert ("d#1#e#1", "d#2#e#1") in got and ("d#5#e#1", "d#6#e#1") in got and ("d#1#c#1", "d#2#c#1") in got
 
 
+def test_common_spellings_count_the_rare_ones(spark, monkeypatch):
+    sigs = ["P|kumaran:k"] * 60 + ["P|selvi:k"] * 5 + [f"P|{a}{b}ran:k" for a in "aeiou" for b in "kmnprs"] * 2
+    parsed = spark.createDataFrame([(x,) for x in sigs], "sig string")
+    monkeypatch.setattr(N, "VOCABULARY", 2)
+    assert sorted(N.common_spellings(parsed)) == ["kumaran", "selvi"]
+    monkeypatch.setattr(N, "VOCABULARY", 1)
+    with pytest.raises(ValueError):
+        N.common_spellings(parsed)
+
+
 def test_empty(spark):
     assert links(spark, []) == set()
 

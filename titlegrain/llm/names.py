@@ -37,7 +37,7 @@ SUFFIX, PREFIX = 4, 3
 GIVEN, GIVEN_SAME_PARENT, PARENT, PARENT_OF_EQUAL, WORD, DAMAGED = 0.85, 0.72, 0.8, 0.6, 0.78, 0.7
 #: Least LCS ratio of an organisation's whole name, and of each of its words.
 ORG, ORG_WORD = 0.9, 0.6
-#: At most so many common spellings are kept (the proven bound of what is broadcast).
+#: At most so many common spellings may be broadcast.
 VOCABULARY = 50_000
 
 # Tamil letters in a rough Latin form that ignores voicing and length.
@@ -258,22 +258,25 @@ def mentions(entries: DataFrame, headers: DataFrame) -> DataFrame:
 
 def common_spellings(parsed: DataFrame) -> list[str]:
     """The spellings so frequent that they can't be slips: at least a tenth of the count that
-    half of all mentions reach or exceed, and 3; the ``VOCABULARY`` most frequent at most."""
+    half of all mentions reach or exceed, and 3. That count is taken over all spellings; more
+    than ``VOCABULARY`` common ones are an error, none is left out."""
 
     @F.pandas_udf("array<string>")
     def names(sigs: pd.Series) -> pd.Series:
         return sigs.map(tokens)
 
-    counts = parsed.groupBy("sig").agg(F.count("*").alias("n")).select("n", F.explode(names("sig")).alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()
-    total, seen, typical = sum(r["n"] for r in top), 0, 0
-    for r in top:
-        seen += r["n"]
-        typical = r["n"]
+    counts = cut(parsed.groupBy("sig").agg(F.count("*").alias("n")).select("n", F.explode(names("sig")).alias("token")).groupBy("token").agg(F.sum("n").alias("n")))
+    sizes = sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), reverse=True)  # few: counts differ
+    total, seen, typical = sum(n * m for n, m in sizes), 0, 0
+    for n, m in sizes:
+        seen += n * m
+        typical = n
         if 2 * seen >= total:
             break
     least = max(3, typical / 10)
-    return [r["token"] for r in top if r["n"] >= least]
+    if sum(m for n, m in sizes if n >= least) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} common spellings")
+    return [r["token"] for r in counts.filter(F.col("n") >= least).collect()]
 
 
 def _pairs_in(surveys, names, items, sigs, judge: Judge) -> list[str]:
