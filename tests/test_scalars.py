@@ -132,3 +132,11 @@ def test_entries_held_by_values(spark, monkeypatch):
     assert look() == want
     monkeypatch.setattr(lookup, "small_enough", lambda df: False)
     assert look() == want
+
+
+def test_near_boxes_of_unequal_size(spark):
+    """A low, narrow box just off a high, wide one is the same line by the distance of middles."""
+    kind = "page int, id int, x0 double, x1 double, y0 double, y1 double, score double"
+    a = spark.createDataFrame([(1, 1, 0.0, 20.0, 0.0, 9.9, 1.0), (1, 2, 0.0, 20.0, 50.0, 60.0, 1.0)], kind)
+    b = spark.createDataFrame([(1, 3, 21.0, 23.0, 10.2, 10.6, 0.5), (1, 4, 0.0, 20.0, 12.0, 13.0, 0.9), (1, 5, 40.0, 42.0, 50.0, 60.0, 0.9)], kind)
+    assert [(r["id"], r["best_id"]) for r in geometry.best_overlap(a, b, "page", 10.0).collect()] == [(1, 3)]
