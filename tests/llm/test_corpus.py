@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -39,6 +41,36 @@ def test_leaks(spark):
     assert L.leaks(d.filter("false"), items).count() == 0 and L.leaks(d, items.filter("false")).count() == 0
 
 
+def test_leaks_altered_anywhere():
+    """28 words with up to three altered ones in any place, ends included, at the item's
+    beginning, middle and end; with four altered ones it is none."""
+    words = ITEM.split()
+    items = L.Items([7], [ITEM])
+    for at in (0, 6, len(words) - 28):
+        texts = []
+        for n in range(4):
+            for places in combinations(range(28), n):
+                part = words[at : at + 28]
+                for k, i in enumerate(places):
+                    part[i] = ("zq", "qzzyxq zqz", "quetzalquetzal")[(i + k) % 3]
+                texts.append(f"Zzz qqq. {' '.join(part)} qqq zzz.")
+        assert {t for t, *_ in L.search_shard(texts, items)} == set(range(len(texts)))
+    part = words[6:34]
+    four = [" ".join("zq" if i in places else w for i, w in enumerate(part)) for places in combinations(range(2, 26), 4)]
+    assert not L.search_shard([f"qqqqqzzzzz {t} qqqqqzzzzz" for t in four[::7]], items)
+
+
+def test_leaks_of_many_letters_and_batches(spark, monkeypatch):
+    """Items of more than 250 different letters, and more items than one batch holds."""
+    signs = [chr(0x4E00 + i) for i in range(600)]
+    one, two = " ".join(signs[:300]), " ".join(signs[300:])
+    d = spark.createDataFrame([(1, " ".join(signs[40:90])), (2, " ".join(signs[290:310])), (3, "".join(signs[400:460]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, one), (2, two), (3, ITEM)], "item_id int, item_text string")
+    whole = {(r["doc_id"], r["item_id"]) for r in L.leaks(d, items).collect()}
+    monkeypatch.setattr(L, "ITEMS", 1)
+    assert whole == {(1, 1), (3, 2)} == {(r["doc_id"], r["item_id"]) for r in L.leaks(d, items).collect()}
+
+
 def test_abuse_gradient():
     """One step of training lowers the loss: the written-out gradients point downhill."""
     rows = [(["you", "fool"], 0), (["calm", "words", "here"], -1), (["they", "are", "vermin"], 1), (["naked", "body"], 2)] * 8

@@ -7,13 +7,18 @@ phrases of the items (every ``SEED`` successive words) are found by backward sea
 wavelet ranks, all phrases at once in numpy. Occurrences are located by sampled suffix
 positions, extended word by word with altered words allowed, and merged to removal spans.
 
-A passage of 28 words with one in eight altered always keeps ``SEED`` successive words, so
-no passage is missed. The items are a fixed list: their phrases are broadcast behind a
-check of their number; shards are built where the documents lie, without a shuffle.
+A passage of 28 words with one in eight altered always keeps ``SEED`` successive words. From
+each run of such seeds all alignments are followed at once, as bit sets of places by number of
+altered words, so that no passage is missed wherever its altered words stand; an altered word
+at an end is one word of the text (in a text without blanks a passage ends with intact words).
+Items are broadcast in batches of at most ``ITEMS``; shards are built where the documents lie,
+without a shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,13 +29,19 @@ from pyspark.sql import functions as F
 
 #: Least words of a passage, words of a searched phrase, one altered word in so many.
 LEAST, SEED, ALTERED = 28, 6, 8
+#: Least seeds of a passage: of its n words at least 7/8 are intact, in at most n/8 + 1 runs, and a
+#: run of r words has r - 5 seeds; the least sum over all n from 28 on is 3, at n = 32.
+SEEDS = 3
+#: So many letters longer than the word it stands for may an altered one be.
+BEYOND = 24
 #: Letters of one shard; a longer text is cut into pieces that overlap by ``OVERLAP``.
 SHARD, OVERLAP = 1_000_000, 20_000
 #: Every so many text positions a suffix position is sampled.
 SAMPLE = 16
-#: At most so many items are broadcast.
-ITEMS = 100_000
-_DROP, _END, _OTHER = 255, 1, 2  # 0 ends the shard
+#: Most items in one batch, which is broadcast.
+ITEMS = 20_000
+_DROP, _END, _OTHER, _NEVER = -1, 1, 2, 1 << 20  # 0 ends the shard
+_BLANKS = np.array([0] + [c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 def _plain(sign: str) -> str:
@@ -48,14 +59,15 @@ class Alphabet:
 
     def __init__(self, letters: str):
         self.codes = {c: i + 3 for i, c in enumerate(sorted(set(letters)))}
-        if len(self.codes) > 250:
-            raise ValueError("more than 250 different letters in the items")
+        if len(self.codes) > 50_000:
+            raise ValueError("more than 50,000 different letters in the items")
         self.bits = (len(self.codes) + 2).bit_length()
+        self.kind = np.uint8 if self.bits < 8 else np.uint16
         self._table: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
         if self._table is None:
-            table = np.full(0x110000, _OTHER, np.uint8)
+            table = np.full(0x110000, _OTHER, np.int32)
             for code in range(0x3000):
                 plain = _plain(chr(code))
                 table[code] = self.codes.get(plain, _OTHER) if plain else _DROP
@@ -70,7 +82,15 @@ class Alphabet:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.table()[points]
         kept = np.flatnonzero(codes != _DROP)
-        return codes[kept], kept
+        return codes[kept].astype(self.kind), kept
+
+
+    @staticmethod
+    def begins(text: str, kept: np.ndarray) -> np.ndarray:
+        """Which kept letters of ``text`` begin a word (and each end of a text), and their number."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = np.isin(points, _BLANKS).cumsum()[kept]
+        return np.flatnonzero(np.concatenate([[True], blank[1:] != blank[:-1], [True]]))
 
 
 def suffix_array(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -109,7 +129,7 @@ class FMIndex:
     """Backward search over one shard of codes from 1 on."""
 
     def __init__(self, codes: np.ndarray, bits: int):
-        codes = np.concatenate([codes, np.zeros(1, np.uint8)])
+        codes = np.concatenate([codes, np.zeros(1, codes.dtype)])
         n = len(codes)
         suffixes = suffix_array(codes, bits)
         self.n, self.bits = n, bits
@@ -184,61 +204,104 @@ class Items:
         self.where = list(phrases.values())
         self.lengths = np.array([len(p) for p in phrases], np.int64)
         width = int(self.lengths.max(initial=1))
-        self.patterns = np.zeros((len(phrases), width), np.uint8)
+        self.patterns = np.zeros((len(phrases), width), self.alphabet.kind)
         code = self.alphabet.codes
         for row, phrase in enumerate(phrases):
             self.patterns[row, width - len(phrase) :] = [code[c] for c in phrase]
-        self.bytes = [[bytes(code[c] for c in w) for w in words] for words in self.words]
-
-
-def _forward(words: list[bytes], stream: bytes, i: int, at: int, end: int) -> list[tuple[int, bool, int, int]]:
-    """Aligns words ``i..`` with ``stream`` from ``at``: (word, intact, from, to)."""
-    out = []
-    n = len(words)
-    while i < n:
-        word = words[i]
-        if stream.startswith(word, at, end):
-            out.append((i, True, at, at + len(word)))
-            at += len(word)
-            i += 1
-            continue
-        follow = words[i + 1] + (words[i + 2] if i + 2 < n else b"") if i + 1 < n else b""
-        if len(follow) < 4 and i + 3 < n:
-            follow += words[i + 3]
-        found = stream.find(follow, at, min(end, at + 2 * len(word) + 6 + len(follow))) if follow else -1
-        if found >= 0:
-            out.append((i, False, at, found))
-            at, i = found, i + 1
-            continue
-        # Two altered words in succession.
-        follow = b"".join(words[i + 2 : i + 5])
-        both = len(word) + (len(words[i + 1]) if i + 1 < n else 0)
-        found = stream.find(follow, at, min(end, at + 2 * both + 8 + len(follow))) if len(follow) >= 6 else -1
-        if found < 0:
+        self.coded = [["".join(chr(code[c]) for c in w) for w in words] for words in self.words]
+
+
+def _spread(places: int, most: int) -> int:
+    """Bit set of all places from 0 to ``most`` beyond those of ``places``."""
+    have = 1
+    while 2 * have <= most + 1:
+        places |= places << have
+        have *= 2
+    return places | places << (most + 1 - have)
+
+
+class _Window:
+    """A part of a stream in which occurrences of words are bit sets of their places;
+    ``begins`` are the places where the text's own words begin, and the part's end."""
+
+    def __init__(self, stream: str, begins: list[int]):
+        self.stream, self.full, self.begins = stream, (1 << len(stream) + 1) - 1, begins
+        self.edges = functools.reduce(lambda bits, at: bits | 1 << at, begins, 0)
+        self.known: dict[str, int] = {"": self.full}
+
+    def places(self, word: str) -> int:
+        found = self.known.get(word)
+        if found is None:
+            found, at = 0, self.stream.find(word)
+            while at >= 0:
+                found |= 1 << at
+                at = self.stream.find(word, at + 1)
+            self.known[word] = found
+        return found
+
+
+def _extended(words: list[str], window: _Window, at: int, most: int) -> tuple[np.ndarray, list[int]]:
+    """Of 0, 1, 2, ... words aligned from ``at`` on, the fewest altered ones, and where the last
+    intact one ends.
+
+    Between intact words an altered one is any string of up to ``BEYOND`` letters more; behind
+    the last intact one it is a word of the text. All alignments are followed at once:
+    ``reached[a]`` is the set of places where an alignment with ``a`` altered words ends."""
+    reached = [1 << at] + [0] * most
+    fewest, ends = np.full(len(words) + 1, _NEVER), [at] * (len(words) + 1)
+    fewest[0] = 0
+    for r, word in enumerate(words, 1):
+        places, size = window.places(word), len(word)
+        fresh, seen = [], 0
+        for a in range(most + 1):
+            intact = (reached[a] & places) << size
+            if intact and fewest[r] == _NEVER:
+                best = intact & window.edges or intact
+                fewest[r], ends[r] = a, (best & -best).bit_length() - 1
+            all_ = intact | (_spread(reached[a - 1], size + BEYOND) & window.full if a and reached[a - 1] else 0)
+            all_ &= ~seen
+            seen |= all_
+            fresh.append(all_)
+        if not seen:
             break
-        out += [(i, False, at, at), (i + 1, False, at, found)]
-        at, i = found, i + 2
-    return out
-
-
-def passage(words: list[bytes], backwards: list[bytes], stream: bytes, i: int, at: int, low: int, high: int) -> tuple[int, int, int] | None:
-    """The longest passage through word ``i`` at ``at``: (words, from, to), or None if short."""
-    reach = 4 * sum(map(len, words)) + 400  # no passage of the item reaches further
-    low, high = max(low, at - reach), min(high, at + reach)
-    right = _forward(words, stream, i, at, high)
-    left = _forward(backwards, stream[low:at][::-1], len(words) - i, 0, at - low)
-    run = [(len(words) - 1 - k, ok, at - b, at - a) for k, ok, a, b in reversed(left)] + right
-    bad = np.cumsum([0] + [not ok for _, ok, _, _ in run])
-    best = None
-    for a in range(len(run)):
-        if len(run) - a < LEAST or not run[a][1]:
-            continue
-        for b in range(len(run), a + LEAST - 1, -1):
-            if (bad[b] - bad[a]) * ALTERED <= b - a:
-                if best is None or b - a > best[0]:
-                    best = (b - a, run[a][2], run[b - 1][3])
-                break
-    return best
+        reached = fresh
+    for r in np.flatnonzero(fewest < most).tolist():
+        k = bisect.bisect_left(window.begins, ends[r])
+        if k < len(window.begins) and window.begins[k] == ends[r]:
+            for e in range(1, min(most - int(fewest[r]), len(words) - r, len(window.begins) - 1 - k) + 1):
+                if fewest[r] + e < fewest[r + e]:
+                    fewest[r + e], ends[r + e] = fewest[r] + e, ends[r]
+    return fewest, ends
+
+
+def passage(words: list[str], stream: str, begins: np.ndarray, i: int, at: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """The longest passage through the intact word ``i`` at ``at``: (words, from, to), or None if
+    no passage of ``LEAST`` words with one in ``ALTERED`` altered runs through it (exact)."""
+    most = len(words) // ALTERED
+    slack = most * BEYOND
+    low = max(low, at - sum(map(len, words[:i])) - slack)
+    high = min(high, at + sum(map(len, words[i:])) + slack)
+    text = stream[low:high]
+    # No alignment has fewer altered words than words that stand nowhere in the window.
+    lost = np.concatenate([[0], np.cumsum([w not in text for w in words])])
+    if not _allowed(lost[i] - lost[i::-1], lost[i:] - lost[i]).any():
+        return None
+    first, last = np.searchsorted(begins, (low, high + 1))
+    edges = (begins[first:last] - low).tolist()
+    right, to = _extended(words[i:], _Window(text, edges), at - low, most)
+    left, fro = _extended([w[::-1] for w in reversed(words[:i])], _Window(text[::-1], [len(text) - e for e in reversed(edges)]), high - at, most)
+    fits = _allowed(left, right)
+    if not fits.any():
+        return None
+    sizes = np.arange(len(left))[:, None] + np.arange(len(right))
+    x, y = np.unravel_index(np.argmax(np.where(fits, sizes, -1)), fits.shape)
+    return int(x + y), high - fro[x], low + to[y]
+
+
+def _allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which numbers of words to the left and right make a passage, by their altered words."""
+    sizes = np.arange(len(left))[:, None] + np.arange(len(right))
+    return (sizes >= LEAST) & ((left[:, None] + right) * ALTERED <= sizes)
 
 
 def search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -258,7 +321,7 @@ def search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, in
     at = index.locate(rows)
     ends = np.flatnonzero(codes == _END)
     text = np.searchsorted(ends, at)
-    # Every (text, item) with its seeds; a passage of LEAST words has at least 4 of them.
+    # Every (text, item) with its seeds.
     many = np.array([len(items.where[p]) for p in phrase])
     item = np.array([k for p in phrase for k, _ in items.where[p]])
     word = np.array([i for p in phrase for _, i in items.where[p]])
@@ -266,21 +329,24 @@ def search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, in
     order = np.lexsort((at, item, text))
     text, item, word, at = text[order], item[order], word[order], at[order]
     cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]]))
-    stream = codes.tobytes()
+    stream = codes.astype("<u4").tobytes().decode("utf-32-le")
     starts = np.concatenate([[0], ends + 1])
+    begins = items.alphabet.begins(joined, places)
     bases = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     out = []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        if b - a < 4:
+        if b - a < SEEDS:
             continue
         t, k = int(text[a]), int(item[a])
-        words = items.bytes[k]
-        backwards = [w[::-1] for w in reversed(words)]
-        done = -1
-        for i, p in zip(word[a:b], at[a:b]):
-            if p < done:
+        words = items.coded[k]
+        done, run = -1, {}
+        for i, p in zip(word[a:b].tolist(), at[a:b].tolist()):
+            # A seed behind another one of the same intact run has no passage of its own.
+            follows = run.pop((i, p), False)
+            run[i + 1, p + len(words[i])] = True
+            if p < done or follows:
                 continue
-            found = passage(words, backwards, stream, int(i), int(p), int(starts[t]), int(ends[t]))
+            found = passage(words, stream, begins, i, p, int(starts[t]), int(ends[t]))
             if found:
                 size, f, to = found
                 done = to
@@ -295,10 +361,15 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     an empty item list or corpus gives no row; a very long text is searched in overlapping
     pieces. Other columns of the inputs are not read.
     """
-    rows = items.select("item_id", "item_text").filter("item_text IS NOT NULL").distinct().limit(ITEMS + 1).collect()
-    if len(rows) > ITEMS:
-        raise ValueError(f"more than {ITEMS} items: search them in parts")
-    rows.sort()
+    asked = items.select("item_id", "item_text").filter("item_text IS NOT NULL").distinct()
+    parts = max(1, -(-asked.count() * 5 // (4 * ITEMS)))  # a fifth more batches, as their sizes differ
+    batch = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts))
+    found = [_leaks_of(documents, sorted(asked.filter(batch == p).collect())) for p in range(parts)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _leaks_of(documents: DataFrame, rows: list) -> DataFrame:
+    """``leaks`` for one batch of items."""
     known = documents.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["item_text"] for r in rows]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
