@@ -68,11 +68,10 @@ class Alphabet:
     def table(self) -> np.ndarray:
         if self._table is None:
             table = np.full(0x110000, _OTHER, np.int32)
-            for code in range(0x3000):
+            wide = (0x3400, 0xD800) if any("\u3400" <= c < "\ud800" for c in self.codes) else (0, 0)
+            for code in (*range(0x3400), *range(*wide), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F000, 0x1FB00), *(map(ord, self.codes))):
                 plain = _plain(chr(code))
                 table[code] = self.codes.get(plain, _OTHER) if plain else _DROP
-            for code in (*range(0xFE00, 0xFE10), *range(0xFFF0, 0x10000), *range(0xE000, 0xF900)):
-                table[code] = _DROP
             table[0] = _END
             self._table = table
         return self._table
