@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from titlegrain.plans import core_queries as C
+from titlegrain.plans import detail_queries, search_queries  # noqa: F401
 
 
 def plain(rows):

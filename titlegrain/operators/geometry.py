@@ -73,7 +73,6 @@ def reading_rows(words: DataFrame, page: str, least: float = 8.0) -> DataFrame:
     over = Window.partitionBy(page)
     height = F.greatest(F.lit(least), 0.55 * F.avg(F.col("y1") - F.col("y0")).over(over))
     down = over.orderBy("y0", "id")
-    begins = F.coalesce((F.col("y0") - F.lag("y0").over(down) > height).cast("int"), F.lit(1))
     return words.withColumn("limit_height", height).withColumn("begins", F.coalesce((F.col("y0") - F.lag("y0").over(down) > F.col("limit_height")).cast("int"), F.lit(1))).withColumn("row", F.sum("begins").over(down)).drop("limit_height", "begins")
 
 

@@ -9,20 +9,20 @@ aggregated on the map side first (``max_by`` and counts instead of collected lis
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlegrain.functions import scalars as S
 from titlegrain.nulls import nullify, nullify_amount
 
-# Words that tell the kind of a deed, by rule set (F2).
+# Words that tell the kind of a deed, by rule set (F2): ``register`` for flags of a
+# certificate, ``filter`` for the property filter, ``owners`` for the registry of owners, ``screen``
+# for the greedy matching of loans. The lists differ by purpose.
 RULES = {
     "register": {
-        "mortgage": ["mortgage", "deposit of title", "modt", "hypothèque", "அடமான", "அடைமான", "ஈடு", "கடன்"],
-        "discharge": ["receipt", "discharge", "ரசீது"],
-        "conveyance": ["sale", "conveyance", "settlement", "gift", "partition", "cession", "கிரைய", "விற்பனை", "செட்டில்மெ", "தான", "பாகப்பிரிவினை"],
+        "mortgage": ["mortgage", "deposit of title", "modt", "hypothèque", "அடமான", "அடைமான", "உரிமை வைப்பு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "ஈடு", "கடன்"],
+        "discharge": ["receipt", "discharge", "ரசீது", "மீட்சி"],
+        "conveyance": ["sale", "conveyance", "settlement", "gift", "partition", "cession", "கிரைய", "கிைரய", "விற்பனை", "விற்பைன", "செட்டில்மெ", "தான", "பாகப்பிரிவினை", "உரிமை மாற்றம்"],
         "court": ["court", "attach", "decree", "injunction", "நீதிமன்ற"],
         "rectification": ["rectification", "திருத்தம்", "பிழைதிருத்தல்"],
         "lease": ["lease", "குத்தகை"],
@@ -30,34 +30,48 @@ RULES = {
         "attorney": ["power of attorney", "பொது அதிகார"],
     }
 }
-RULES["filter"] = RULES["register"] | {"discharge": ["receipt", "discharge", "release", "ரசீது", "விடுதலை"], "conveyance": [*RULES["register"]["conveyance"], "release"]}
+RULES["filter"] = RULES["register"] | {
+    "mortgage": ["mortgage", "modt", "deposit of title", "charge", "hypothecation", "hypothèque", "அடமான"],
+    "discharge": ["receipt", "discharge", "release", "ரசீது", "விடுதலை"],
+    "conveyance": ["conveyance", "sale", "settlement", "gift", "partition", "release", "cession", "கிரைய", "செட்டில்மென்ட்", "பாகப்பிரிவினை", "தான"],
+    "court": ["court", "attachment", "injunction", "decree", "lis pendens", "o[.]s[.]", "e[.]p[.]", "c[.]s[.]", "w[.]p[.]", "suit", "stay", "order", "நீதிமன்ற", "பற்று", "தடை", "வழக்கு"],
+}
+RULES["owners"] = RULES["register"] | {
+    "mortgage": ["mortgage", "அடைமானம்", "ஈடு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "உரிமை ஆவண", "modt", "deposit of title"],
+    "discharge": ["receipt", "இரசீது", "ரசீது", "discharge", "release", "விடுதலை"],
+}
+RULES["screen"] = RULES["register"] | {"mortgage": ["mortgage", "modt", "deposit of title", "ஈடு", "அடமான", "அடைமானம்", "உரிமை வைப்பு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "உரிமை ஆவண", "கடன் திரும்ப", "பணயம்"]}
 
 
 def register(entries: DataFrame) -> DataFrame:
-    """The clean register. Sentinels become NULL, a repeated delivery gives one row, a
-    missing ``sr`` falls back to ``seq``; ``survey_no`` is that of the first schedule."""
+    """The clean register. Sentinels become NULL, a missing ``sr`` falls back to ``seq``;
+    ``survey_no`` and its neighbours are those of the first schedule, ``schedule_text`` holds the
+    survey numbers, extents, plots and boundaries of all.
+
+    A repeated delivery gives one row per (``doc_id``, ``seq``), with the values of the last one by
+    ``loaded_at``. Each column is an aggregate of its own, so that the scan and the shuffle of a
+    query carry only the columns it uses.
+    """
     text = ["nature", "executants", "claimants", "remarks", "vol_page", "consideration", "market_value"]
+    one = ["survey_no", "extent", "village_street", "plot_no", "flat_no", "door_no", "boundaries"]
     first = F.try_element_at("schedules", F.lit(1))
-    return entries.select(
-        "doc_id",
-        "seq",
-        F.coalesce("sr", "seq").alias("sr"),
-        nullify(F.col("doc_no_year")).alias("doc_no"),
-        "execution_date",
-        "presentation_date",
-        "registration_date",
-        *[nullify(F.col(c)).alias(c) for c in text],
-        nullify_amount(F.col("pr_numbers")).alias("pr_numbers"),
-        "consideration_amt",
-        "market_value_amt",
-        "page_index",
-        nullify(first["survey_no"]).alias("survey_no"),
-        nullify(first["extent"]).alias("extent"),
-        nullify(first["village_street"]).alias("village_street"),
-        nullify(first["plot_no"]).alias("plot_no"),
-        nullify(first["door_no"]).alias("door_no"),
-        nullify(first["boundaries"]).alias("boundaries"),
-    ).distinct()
+    columns = {
+        "sr": F.coalesce("sr", "seq"),
+        "doc_no": nullify(F.col("doc_no_year")),
+        **{c: F.col(c) for c in ("execution_date", "presentation_date", "registration_date")},
+        **{c: nullify(F.col(c)) for c in text},
+        "pr_numbers": nullify_amount(F.col("pr_numbers")),
+        **{c: F.col(c) for c in ("consideration_amt", "market_value_amt", "page_index")},
+        **{c: nullify(first[c]) for c in one},
+        "schedule_text": F.array_join(F.transform(F.coalesce("schedules", F.array()), lambda x: F.concat_ws(" ", x["survey_no"], x["extent"], x["plot_no"], x["boundaries"])), " "),
+    }
+    return latest(entries, ["doc_id", "seq"], columns)
+
+
+def latest(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """The columns of the last delivery of each key (any one, where there is no ``loaded_at``)."""
+    last = (lambda c: F.max_by(c, F.coalesce("loaded_at", F.lit("1700-01-01").cast("timestamp")))) if "loaded_at" in rows.columns else F.first
+    return rows.groupBy(*keys).agg(*[last(c).alias(n) for n, c in columns.items()])
 
 
 def is_kind(kind: str, rules: str = "register", col: str = "nature") -> Column:
@@ -83,15 +97,23 @@ def court_entries(reg: DataFrame) -> DataFrame:
     return reg.withColumn("places", places).filter(F.size("places") > 0).select("doc_id", "seq", F.array_join("places", ",").alias("places"))
 
 
-def serial_gaps(reg: DataFrame) -> DataFrame:
+def serial_gaps(reg: DataFrame, span: int = 4096) -> DataFrame:
     """Gaps in the serial numbers of a certificate, with the neighbours on both sides.
 
-    Repeated numbers count once; a gap before the first number is none.
+    Repeated numbers count once; a gap before the first number is none. Neighbours are found
+    within ranges of ``span`` numbers, and the ends of the ranges among themselves, so that a
+    certificate of any size is spread over its ranges.
     """
-    serials = reg.filter("sr IS NOT NULL").groupBy("doc_id", "sr").agg(F.min_by("doc_no", "seq").alias("doc_no"))
-    order = Window.partitionBy("doc_id").orderBy("sr")
-    led = serials.withColumn("next_sr", F.lead("sr").over(order)).withColumn("next_doc", F.lead("doc_no").over(order))
-    gaps = led.filter("next_sr > sr + 1")
+    serials = reg.filter("sr IS NOT NULL").groupBy("doc_id", "sr").agg(F.min_by("doc_no", "seq").alias("doc_no")).withColumn("part", F.floor(F.col("sr") / span))
+
+    def neighbours(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy("doc_id", *by).orderBy("sr")
+        return rows.withColumn("next_sr", F.lead("sr").over(order)).withColumn("next_doc", F.lead("doc_no").over(order))
+
+    ends = serials.groupBy("doc_id", "part").agg(F.min_by(F.struct("sr", "doc_no"), "sr").alias("a"), F.max_by(F.struct("sr", "doc_no"), "sr").alias("b"))
+    order = Window.partitionBy("doc_id").orderBy("part")
+    across = ends.select("doc_id", F.col("b.sr").alias("sr"), F.col("b.doc_no").alias("doc_no"), F.lead("a").over(order).alias("n")).select("doc_id", "sr", "doc_no", F.col("n.sr").alias("next_sr"), F.col("n.doc_no").alias("next_doc"))
+    gaps = neighbours(serials, "part").drop("part").unionByName(across).filter("next_sr > sr + 1")
     first, last = (F.col("sr") + 1).cast("string"), (F.col("next_sr") - 1).cast("string")
     return gaps.select("doc_id", F.col("sr").alias("prev_sr"), F.col("doc_no").alias("prev_doc"), "next_sr", "next_doc", (F.col("next_sr") - F.col("sr") - 1).alias("missing"), F.when(first == last, first).otherwise(F.concat(first, F.lit("-"), last)).alias("missing_range"))
 
@@ -124,7 +146,7 @@ def _doc_keys(doc: Column) -> Column:
 def _party_links(reg: DataFrame, kind: str, lender: str, borrower: str) -> DataFrame:
     """``doc_id, survey_no, lender, borrower, seq`` of the deeds of a kind, by first party of each side."""
     key = lambda c: S.party_key(F.try_element_at(S.party_items(F.col(c)), F.lit(1)))
-    return reg.filter(is_kind(kind)).select("doc_id", "survey_no", key(lender).alias("lender"), key(borrower).alias("borrower"), "seq")
+    return reg.filter(is_kind(kind, "screen")).select("doc_id", "survey_no", key(lender).alias("lender"), key(borrower).alias("borrower"), "seq")
 
 
 def _words(*cols: str) -> Column:
@@ -132,11 +154,16 @@ def _words(*cols: str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *cols)), r"\s+"), lambda w: F.length(w) > 3))
 
 
-def _holding(words: DataFrame, longer: DataFrame) -> DataFrame:
-    """``word, whole``: the words of ``longer`` that hold a word; met by its first four letters."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("whole") - 3), lambda i: F.col("whole").substr(i, F.lit(4)))
-    met = longer.distinct().withColumn("k", F.explode(F.array_distinct(grams)))
-    return words.distinct().withColumn("k", F.substring("word", 1, 4)).join(met, "k").filter(F.contains("whole", "word")).select("word", "whole")
+def holding(words: DataFrame, longer: DataFrame) -> DataFrame:
+    """``word, whole``: the strings of ``longer`` that hold a word of ``words``, each pair once.
+
+    Exact for words of any length: they meet by the first four letters of the word (all of a
+    shorter one), so that no word is compared with every string.
+    """
+    asked = words.filter("word <> ''").distinct().withColumn("k", F.substring("word", 1, 4))
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring("whole", i, n)))
+    met = longer.filter("whole <> ''").distinct().withColumn("k", F.explode(F.array_distinct(F.flatten(sizes))))
+    return asked.join(met, "k").filter(F.contains("whole", "word")).select("word", "whole")
 
 
 def _paid_by_words(reg: DataFrame) -> DataFrame:
@@ -150,7 +177,7 @@ def _paid_by_words(reg: DataFrame) -> DataFrame:
     owed = reg.filter(is_kind("mortgage")).select("doc_id", "seq", _words("claimants").alias("l"), _words("executants").alias("b"), bank("claimants").alias("mark"))
     paid = reg.filter(is_kind("discharge")).select("doc_id", "seq", _words("executants").alias("l"), _words("claimants").alias("b"), bank("executants").alias("mark"))
     said = F.explode(F.array_union("l", "b"))
-    held = _holding(owed.select(said.alias("word")), paid.select(said.alias("whole")))
+    held = holding(owed.select(said.alias("word")), paid.select(said.alias("whole")))
     keys = lambda c: paid.select("doc_id", "seq", F.explode(c).alias("whole")).join(held, "whole").select("doc_id", "seq", F.col("word").alias(c)).distinct()
     lenders = keys("l").unionByName(paid.select("doc_id", "seq", F.explode("mark").alias("l")))
     first = lenders.join(keys("b"), ["doc_id", "seq"]).groupBy("doc_id", "l", "b").agg(F.min("seq").alias("by_words"))
@@ -158,56 +185,61 @@ def _paid_by_words(reg: DataFrame) -> DataFrame:
     return asked.join(first, ["doc_id", "l", "b"]).groupBy("doc_id", "seq").agg(F.min("by_words").alias("by_words"))
 
 
-def loan_match_first(reg: DataFrame, parties: str = "words") -> DataFrame:
+def loan_match_first(reg: DataFrame) -> DataFrame:
     """The first discharge, in register order, of every mortgage; NULL where it is open.
 
     A discharge fits if it refers to the mortgage's document, also in the two-digit form, or
     by its parties: a word over three letters of the lender in its executants (or ``bank`` in
-    both) and one of the borrower in its claimants. ``parties="first"`` is a narrower rule, that
-    of the query's SQL: the first executant and claimant are the first lender and borrower, for
-    the same survey number. No condition on order. Every deed emits its keys once (documents
-    referred to, pair of parties with survey number); a window by key finds the first discharge
-    of each, so that one scan and fine keys do and no pairs are made.
+    both) and one of the borrower in its claimants. No condition on order; one discharge may
+    close many mortgages. Every deed emits its keys (documents referred to, pairs of words);
+    the first discharge of a key is aggregated before a mortgage meets it, so that no pairs of
+    deeds are made.
     """
-    party = lambda c: S.party_key(F.try_element_at(S.party_items(F.col(c)), F.lit(1)))
-    owed, paid = is_kind("mortgage"), is_kind("discharge")
-    lender = F.when(owed, party("claimants")).otherwise(party("executants"))
-    borrower = F.when(owed, party("executants")).otherwise(party("claimants"))
-    pair = F.concat(F.lit("p|"), F.col("survey_no"), F.lit("|"), lender, F.lit("|"), borrower) if parties == "first" else F.lit(None).cast("string")
-    refs = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "pr_numbers", "remarks"), F.lit(r"([0-9]{1,6}/[0-9]{2,4})\b"), F.lit(1)))
-    own = F.when(owed, _doc_keys(F.col("doc_no"))).otherwise(refs)
-    keys = F.concat(F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda k: F.concat(F.lit("r|"), k)), F.array_compact(F.array(pair, F.when(owed, F.concat(F.lit("m|"), F.col("seq").cast("string"))))))
-    rows = reg.filter(owed | paid).select("doc_id", "seq", "doc_no", owed.alias("owed"), F.explode(keys).alias("key"))
-    first = F.min(F.when(~F.col("owed"), F.col("seq"))).over(Window.partitionBy("doc_id", "key"))
-    found = rows.withColumn("found", first).filter("owed").groupBy("doc_id", "seq").agg(F.first("doc_no").alias("doc_no"), F.min("found").alias("discharge_seq"))
-    if parties == "first":
-        return found
-    return found.join(_paid_by_words(reg), ["doc_id", "seq"], "left").select("doc_id", "seq", "doc_no", F.least("discharge_seq", "by_words").alias("discharge_seq"))
+    owed = reg.filter(is_kind("mortgage"))
+    first = references(reg.filter(is_kind("discharge"))).groupBy("doc_id", "ref").agg(F.min("seq").alias("by_ref"))
+    asked = owed.select("doc_id", "seq", F.explode(_doc_keys(F.col("doc_no"))).alias("ref"))
+    by_ref = asked.join(first, ["doc_id", "ref"]).groupBy("doc_id", "seq").agg(F.min("by_ref").alias("by_ref"))
+    found = owed.select("doc_id", "seq", "doc_no").join(by_ref, ["doc_id", "seq"], "left").join(_paid_by_words(reg), ["doc_id", "seq"], "left")
+    return found.select("doc_id", "seq", "doc_no", F.least("by_ref", "by_words").alias("discharge_seq"))
 
 
 def loan_match_after(reg: DataFrame) -> DataFrame:
-    """The first discharge behind the mortgage in register order that refers to its document."""
-    owed = reg.filter(is_kind("mortgage")).select("doc_id", F.explode(_doc_keys(F.col("doc_no"))).alias("ref"), "seq", F.lit(0).alias("paid"))
-    paid = references(reg.filter(is_kind("discharge"))).select("doc_id", "ref", "seq", F.lit(1).alias("paid"))
-    ahead = Window.partitionBy("doc_id", "ref").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    found = owed.unionByName(paid).withColumn("discharge_seq", F.min(F.when(F.col("paid") == 1, F.col("seq"))).over(ahead)).filter("paid = 0")
-    return found.groupBy("doc_id", "seq").agg(F.min("discharge_seq").alias("discharge_seq"))
+    """The first discharge behind a party's mortgage that refers to its document and has the
+    mortgagor among its claimants. One row per mortgage and mortgagor, open ones with NULL; a
+    mortgage without executants has one row without a party."""
+    rows = parties(reg)
+    debtor = rows.filter((F.col("side") == "executant") & (F.col("party_key") != "")).filter(is_kind("mortgage", "owners")).select("doc_id", "seq", "party_key").distinct()
+    owed = reg.filter(is_kind("mortgage", "owners")).select("doc_id", "seq", "doc_no").join(debtor, ["doc_id", "seq"], "left")
+    paid = rows.filter((F.col("side") == "claimant") & is_kind("discharge", "owners")).select("doc_id", "seq", "party_key").distinct().join(references(reg.filter(is_kind("discharge", "owners"))), ["doc_id", "seq"])
+    ahead = Window.partitionBy("doc_id", "ref", "party_key").orderBy("seq", "paid").rowsBetween(1, Window.unboundedFollowing)
+    both = owed.filter("doc_no IS NOT NULL AND party_key IS NOT NULL").select("doc_id", F.col("doc_no").alias("ref"), "party_key", "seq", F.lit(0).alias("paid")).unionByName(paid.select("doc_id", "ref", "party_key", "seq", F.lit(1).alias("paid")))
+    met = both.withColumn("discharge_seq", F.min(F.when(F.col("paid") == 1, F.col("seq"))).over(ahead)).filter("paid = 0 AND discharge_seq IS NOT NULL")
+    return owed.select("doc_id", "seq", "party_key").join(met.select("doc_id", "seq", "party_key", "discharge_seq"), ["doc_id", "seq", "party_key"], "left")
 
 
 def loan_match_rank(reg: DataFrame) -> DataFrame:
-    """Each discharge used once. Within a survey number and pair of parties the i-th
+    """Each discharge used once. Within a survey number and pair of first parties the i-th
     mortgage meets the i-th discharge, which is what greedy matching in register order gives
-    where every discharge of the pair fits."""
+    where every discharge of the pair fits. A mortgage without these keys stays open; the only
+    mortgage of a certificate meets its only discharge whatever their parties are.
+
+    The inventory's greedy fold over a whole certificate also takes references and single words
+    as a fit; it is sequential by nature and would put a hot certificate into one task."""
     keys = ["doc_id", "survey_no", "lender", "borrower"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
-    owed = _party_links(reg, "mortgage", "claimants", "executants").dropna(subset=keys).withColumn("rank", rank)
-    paid = _party_links(reg, "discharge", "executants", "claimants").dropna(subset=keys).withColumn("rank", rank).withColumnRenamed("seq", "discharge_seq")
-    return owed.join(paid, [*keys, "rank"], "left").select("doc_id", "survey_no", "seq", "rank", "discharge_seq")
+    all_owed, all_paid = _party_links(reg, "mortgage", "claimants", "executants"), _party_links(reg, "discharge", "executants", "claimants")
+    owed = all_owed.dropna(subset=keys).withColumn("rank", rank)
+    paid = all_paid.dropna(subset=keys).withColumn("rank", rank).withColumnRenamed("seq", "discharge_seq")
+    known = owed.join(paid, [*keys, "rank"], "left").select("doc_id", "seq", "rank", "discharge_seq")
+    count = lambda rows, n, s: rows.groupBy("doc_id").agg(F.count("*").alias(n), F.min("seq").alias(s)).filter(f"{n} = 1").select("doc_id", s)
+    alone = count(all_owed, "n", "seq").join(count(all_paid, "m", "only_seq"), "doc_id")
+    found = all_owed.select("doc_id", "survey_no", "seq").join(known, ["doc_id", "seq"], "left").join(alone, ["doc_id", "seq"], "left")
+    return found.select("doc_id", "survey_no", "seq", "rank", F.coalesce("discharge_seq", "only_seq").alias("discharge_seq"))
 
 
-def loan_status(reg: DataFrame, parties: str = "words") -> DataFrame:
+def loan_status(reg: DataFrame) -> DataFrame:
     """A1: loans of each certificate, closed, open, share closed in per cent (half up)."""
-    loans = loan_match_first(reg, parties).groupBy("doc_id").agg(F.count("*").alias("loans"), F.count("discharge_seq").alias("closed"))
+    loans = loan_match_first(reg).groupBy("doc_id").agg(F.count("*").alias("loans"), F.count("discharge_seq").alias("closed"))
     court = reg.groupBy("doc_id").agg(F.count("*").alias("entries"), F.count_if(is_kind("court")).alias("court_cases"))
     joined = court.join(loans, "doc_id", "left").na.fill(0, ["loans", "closed"])
     return joined.select("doc_id", "entries", "loans", "closed", (F.col("loans") - F.col("closed")).alias("open"), "court_cases", F.round(F.coalesce(F.try_divide(F.col("closed") * 100.0, F.col("loans")), F.lit(0.0)), 1).alias("closed_pct"))
@@ -266,76 +298,49 @@ def party_profiles(rows: DataFrame) -> DataFrame:
         F.count_if(~side & is_kind("conveyance")).alias("bought"),
         F.count_if(side & is_kind("conveyance")).alias("sold"),
         F.max("seq").alias("last_seq"),
+        F.first("entity").alias("entity"),
     )
 
 
-def owner_groups(profiles: DataFrame) -> DataFrame:
-    """Owners (bought more often than sold), former owners, and the rest."""
-    group = F.when(F.col("bought") > F.col("sold"), "current").when((F.col("bought") > 0) | (F.col("sold") > 0), "former").otherwise("other")
-    return profiles.select("doc_id", "party_key", "party", group.alias("owner_group"))
-
-
-def registry_summary(groups: DataFrame) -> DataFrame:
-    """A3: how many parties of each group a certificate has."""
-    return groups.groupBy("doc_id").agg(F.count("*").alias("parties"), *[F.count_if(F.col("owner_group") == g).alias(g) for g in ("current", "former", "other")])
+def party_entries(rows: DataFrame) -> DataFrame:
+    """A5: the entries of each party with its role, one row each (a list of any length stays rows)."""
+    role = F.when(F.col("side") == "executant", "transferor").otherwise("transferee")
+    return rows.filter("party_key <> ''").select("doc_id", "party_key", "seq", "doc_no", "nature", role.alias("role")).distinct()
 
 
-@dataclass(frozen=True)
-class Criteria:
-    """what to look for; None leaves a criterion out."""
+def active_mortgages(reg: DataFrame) -> DataFrame:
+    """A5: mortgages of each party, and whether one of them is not closed."""
+    loans = loan_match_after(reg).filter("party_key IS NOT NULL")
+    return loans.groupBy("doc_id", "party_key").agg(F.count("*").alias("mortgages"), F.count("discharge_seq").alias("closed")).withColumn("active", F.col("mortgages") > F.col("closed"))
 
-    survey_no: str | None = None
-    door_no: str | None = None
-    extent_sqft: float | None = None
-    boundary: str | None = None
-    owner: str | None = None
-    mode: str = "any"
-
-
-# Words of a boundary that tell nothing.
-BOUNDARY_WORDS = ("north", "south", "east", "west", "road", "street")
 
+def owner_groups(profiles: DataFrame) -> DataFrame:
+    """Owners (bought more often than sold), former owners, institutions (banks and
+    public bodies among the rest), and other parties."""
+    owner = F.when(F.col("bought") > F.col("sold"), "current").when((F.col("bought") > 0) | (F.col("sold") > 0), "former")
+    group = F.coalesce(owner, F.when(F.col("entity").isin("bank", "government"), "institution"), F.lit("other"))
+    return profiles.select("doc_id", "party_key", "party", group.alias("owner_group"), F.col("entity").isin("bank", "government").alias("institution"))
+
+
+def registry_summary(groups: DataFrame, unit_counts: DataFrame) -> DataFrame:
+    """A3: seven counts of a certificate: owners, current and former ones, institutions, other
+    parties, all parties, units."""
+    counted = groups.groupBy("doc_id").agg(
+        F.count_if(F.col("owner_group").isin("current", "former")).alias("owners"),
+        *[F.count_if(F.col("owner_group") == g).alias(g) for g in ("current", "former")],
+        F.count_if("institution").alias("institutions"),
+        F.count_if(F.col("owner_group") == "other").alias("other"),
+        F.count("*").alias("parties"),
+    )
+    per = unit_counts.groupBy("doc_id").agg(F.count("*").alias("units"))
+    return counted.join(per, "doc_id", "left").withColumn("units", F.coalesce("units", F.lit(0)))
 
-def property_filter(reg: DataFrame, criteria: Criteria, extent: Column | None = None) -> DataFrame:
-    """entries that meet any (or ``mode="all"``) of the criteria given, with the reasons.
 
-    ``extent`` is a Column of square feet for the ±15 % test. Without a criterion every
-    entry matches. All tests are Column predicates, evaluated in one pass.
-    """
-    text = F.lower(F.concat_ws(" ", "doc_no", "nature", "executants", "claimants", "remarks", "pr_numbers", "survey_no", "extent", "plot_no", "door_no", "boundaries"))
-    tests: list[tuple[str, Column]] = []
-    if criteria.survey_no:
-        tests.append(("survey", F.coalesce(S.survey_normal(F.col("survey_no")) == S.survey_normal(F.lit(criteria.survey_no)), F.lit(False)) | text.contains(criteria.survey_no.lower())))
-    if criteria.door_no:
-        tests.append(("door", text.contains(criteria.door_no.lower())))
-    if criteria.extent_sqft and extent is not None:
-        tests.append(("extent", F.coalesce(F.abs(extent - criteria.extent_sqft) / criteria.extent_sqft < 0.15, F.lit(False))))
-    if criteria.boundary:
-        words = [w for w in criteria.boundary.lower().split() if len(w) > 1 and w not in BOUNDARY_WORDS]
-        hits = sum((text.contains(w).cast("int") for w in words), F.lit(0))
-        tests.append(("boundary", hits >= 2))
-    if criteria.owner:
-        name = " ".join(criteria.owner.lower().split())
-        sides = S.name_normal(F.concat_ws(" ", "executants", "claimants"))
-        hit = sides.contains(name)
-        for word in (w for w in name.split() if len(w) > 2):
-            hit = hit | sides.contains(word)
-        tests.append(("owner", hit))
-    if not tests:
-        return reg.withColumn("reasons", F.lit("all")).withColumn("matched", F.lit(True))
-    reasons = F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests])), ",")
-    met = tests[0][1]
-    for _, test in tests[1:]:
-        met = (met & test) if criteria.mode == "all" else (met | test)
-    return reg.withColumn("reasons", reasons).withColumn("matched", met)
-
-
-def related_entry(reg: DataFrame, owner: str) -> DataFrame:
-    """The first entry of each certificate that names a person, with the role."""
-    name = " ".join(owner.lower().split())
-    claim, exe = S.name_normal(F.coalesce("claimants", F.lit(""))), S.name_normal(F.coalesce("executants", F.lit("")))
-    role = F.when(claim.contains(name), "claimant").when(exe.contains(name), "executant")
-    return reg.withColumn("role", role).filter("role IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("seq", "doc_no", "role"), "seq").alias("r")).select("doc_id", "r.*")
+def dossier(profiles: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """The parties whose key equals that of a name, or whose spelling holds it, with their group."""
+    key = S.party_key(F.lit(name))
+    held = (F.col("party_key") == key) | F.contains(F.lower("party"), F.lower(F.lit(name)))
+    return profiles.filter(held).join(groups.select("doc_id", "party_key", "owner_group"), ["doc_id", "party_key"])
 
 
 def observed_span(reg: DataFrame) -> DataFrame:

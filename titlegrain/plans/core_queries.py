@@ -48,8 +48,32 @@ def _has(c: str, words: list[str]) -> str:
     return f"coalesce(regexp_matches(lower({c}), '{'|'.join(words)}'), FALSE)"
 
 
+# The words of the kinds, written out for the SQL apart from the operators' own lists.
+_SALE = ["sale", "conveyance", "settlement", "gift", "partition", "cession", "கிரைய", "கிைரய", "விற்பனை", "விற்பைன", "செட்டில்மெ", "தான", "பாகப்பிரிவினை", "உரிமை மாற்றம்"]
+_WORDS = {
+    "register": {
+        "mortgage": ["mortgage", "deposit of title", "modt", "hypothèque", "அடமான", "அடைமான", "உரிமை வைப்பு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "ஈடு", "கடன்"],
+        "discharge": ["receipt", "discharge", "ரசீது", "மீட்சி"],
+        "conveyance": _SALE,
+        "court": ["court", "attach", "decree", "injunction", "நீதிமன்ற"],
+        "rectification": ["rectification", "திருத்தம்", "பிழைதிருத்தல்"],
+        "lease": ["lease", "குத்தகை"],
+        "family": ["settlement", "partition", "release", "gift", "செட்டில்மெ", "பாகப்பிரிவினை", "விடுதலை"],
+        "attorney": ["power of attorney", "பொது அதிகார"],
+    }
+}
+_WORDS["filter"] = _WORDS["register"] | {
+    "mortgage": ["mortgage", "modt", "deposit of title", "charge", "hypothecation", "hypothèque", "அடமான"],
+    "discharge": ["receipt", "discharge", "release", "ரசீது", "விடுதலை"],
+    "conveyance": ["conveyance", "sale", "settlement", "gift", "partition", "release", "cession", "கிரைய", "செட்டில்மென்ட்", "பாகப்பிரிவினை", "தான"],
+    "court": ["court", "attachment", "injunction", "decree", "lis pendens", "o[.]s[.]", "e[.]p[.]", "c[.]s[.]", "w[.]p[.]", "suit", "stay", "order", "நீதிமன்ற", "பற்று", "தடை", "வழக்கு"],
+}
+_WORDS["owners"] = _WORDS["register"] | {"mortgage": ["mortgage", "அடைமானம்", "ஈடு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "உரிமை ஆவண", "modt", "deposit of title"], "discharge": ["receipt", "இரசீது", "ரசீது", "discharge", "release", "விடுதலை"]}
+_WORDS["screen"] = _WORDS["register"] | {"mortgage": ["mortgage", "modt", "deposit of title", "ஈடு", "அடமான", "அடைமானம்", "உரிமை வைப்பு", "ஒப்படைப்பு", "ஒப்பைடப்பு", "உரிமை ஆவண", "கடன் திரும்ப", "பணயம்"]}
+
+
 def _kind(kind: str, c: str = "nature", rules: str = "register") -> str:
-    words = register.RULES[rules]
+    words = _WORDS[rules]
     found = _has(c, words[kind])
     if kind == "mortgage":
         return f"({found} AND NOT {_has(c, words['discharge'])})"
@@ -85,7 +109,8 @@ def _name(c: str) -> str:
 _REG = f"""reg AS (SELECT DISTINCT doc_id, seq, coalesce(sr, seq) AS sr, {_nn('doc_no_year')} AS doc_no, execution_date, presentation_date, registration_date,
   {', '.join(f'{_nn(c)} AS {c}' for c in ('nature', 'executants', 'claimants', 'remarks', 'vol_page', 'consideration', 'market_value'))},
   (CASE WHEN trim(pr_numbers) = '0' THEN NULL ELSE {_nn('pr_numbers')} END) AS pr_numbers, consideration_amt, market_value_amt, page_index,
-  {', '.join(f'{_nn(f"schedules[1].{c}")} AS {c}' for c in ('survey_no', 'extent', 'village_street', 'plot_no', 'door_no', 'boundaries'))} FROM ec_entry)"""
+  {', '.join(f'{_nn(f"schedules[1].{c}")} AS {c}' for c in ('survey_no', 'extent', 'village_street', 'plot_no', 'flat_no', 'door_no', 'boundaries'))},
+  array_to_string(list_transform(coalesce(schedules, []), lambda s: concat_ws(' ', s.survey_no, s.extent, s.plot_no, s.boundaries)), ' ') AS schedule_text FROM ec_entry)"""
 
 _ENTITY = "CASE WHEN regexp_matches(lower(party), 'bank|finance|fund|வங்கி') THEN 'bank' WHEN regexp_matches(lower(party), 'court') THEN 'court' WHEN regexp_matches(lower(party), 'school|college|trust|academy|foundation|சங்கம்') THEN 'trust' WHEN regexp_matches(lower(party), 'ltd|limited|llp|corporation|corpn|builders|நிறுவனம்') THEN 'company' WHEN regexp_matches(lower(party), 'authority|board|government') THEN 'government' ELSE 'individual' END"
 _PARTIES = f"""{_REG}, sides AS (
@@ -96,8 +121,8 @@ _PARTIES = f"""{_REG}, sides AS (
 _PROFILES = f"""{_PARTIES}, profiles AS (
   SELECT doc_id, party_key, arg_min(party, row(seq, side, ordinal)) AS party, count(DISTINCT seq) AS entries, count(DISTINCT survey_no) AS units,
     count(*) FILTER (side = 'executant' AND {_kind('mortgage')}) AS loans, count(*) FILTER (side <> 'executant' AND {_kind('conveyance')}) AS bought,
-    count(*) FILTER (side = 'executant' AND {_kind('conveyance')}) AS sold, max(seq) AS last_seq FROM parties WHERE party_key <> '' GROUP BY doc_id, party_key),
- groups AS (SELECT doc_id, party_key, party, CASE WHEN bought > sold THEN 'current' WHEN bought > 0 OR sold > 0 THEN 'former' ELSE 'other' END AS owner_group FROM profiles)"""
+    count(*) FILTER (side = 'executant' AND {_kind('conveyance')}) AS sold, max(seq) AS last_seq, min(entity) AS entity FROM parties WHERE party_key <> '' GROUP BY doc_id, party_key),
+ groups AS (SELECT doc_id, party_key, party, CASE WHEN bought > sold THEN 'current' WHEN bought > 0 OR sold > 0 THEN 'former' WHEN entity IN ('bank', 'government') THEN 'institution' ELSE 'other' END AS owner_group, entity IN ('bank', 'government') AS institution FROM profiles)"""
 _REFS = r"list_distinct(regexp_extract_all(concat_ws(' ', pr_numbers, remarks), '([0-9]{1,6}/[0-9]{2,4})\b', 1))"
 _KEYS = "list_distinct([doc_no, regexp_replace(doc_no, '/[0-9]{2}([0-9]{2})$', '/\\1')])"
 
@@ -106,12 +131,17 @@ def _first_party(c: str) -> str:
     return _party_key(f"{_items(c)}[1]")
 
 
-_LOANS = f"""{_REG}, m AS (SELECT * FROM reg WHERE {_kind('mortgage')}), d AS (SELECT * FROM reg WHERE {_kind('discharge')}),
- r AS (SELECT doc_id, ref, min(seq) AS by_ref FROM (SELECT doc_id, seq, unnest({_REFS}) AS ref FROM d) GROUP BY doc_id, ref),
- mr AS (SELECT k.doc_id, k.seq, min(r.by_ref) AS by_ref FROM (SELECT doc_id, seq, unnest({_KEYS}) AS ref FROM m) k JOIN r USING (doc_id, ref) GROUP BY k.doc_id, k.seq),
- p AS (SELECT doc_id, survey_no, {_first_party('executants')} AS lender, {_first_party('claimants')} AS borrower, min(seq) AS by_party FROM d GROUP BY 1, 2, 3, 4),
- mp AS (SELECT k.doc_id, k.seq, p.by_party FROM (SELECT doc_id, seq, survey_no, {_first_party('claimants')} AS lender, {_first_party('executants')} AS borrower FROM m) k JOIN p USING (doc_id, survey_no, lender, borrower)),
- loans AS (SELECT m.doc_id, m.seq, m.doc_no, least(mr.by_ref, mp.by_party) AS discharge_seq FROM m LEFT JOIN mr USING (doc_id, seq) LEFT JOIN mp USING (doc_id, seq))"""
+def _word_in(a: str, b: str) -> str:
+    return f"len(list_filter(regexp_split_to_array(lower(coalesce({a}, '')), '\\s+'), lambda w: length(w) > 3 AND contains(lower(coalesce({b}, '')), w))) > 0"
+
+
+_LOANS = f"""{_REG}, m AS (SELECT *, {_KEYS} AS keys FROM reg WHERE {_kind('mortgage')}), d AS (SELECT *, {_REFS} AS refs FROM reg WHERE {_kind('discharge')}),
+ loans AS (SELECT m.doc_id, m.seq, any_value(m.doc_no) AS doc_no, min(d.seq) AS discharge_seq FROM m LEFT JOIN d ON d.doc_id = m.doc_id AND (list_has_any(d.refs, m.keys)
+  OR (({_word_in('m.claimants', 'd.executants')} OR (contains(lower(m.claimants), 'bank') AND contains(lower(d.executants), 'bank'))) AND {_word_in('m.executants', 'd.claimants')})) GROUP BY m.doc_id, m.seq)"""
+_MORTGAGORS = f"""{_PARTIES}, ow AS (SELECT doc_id, seq, doc_no FROM reg WHERE {_kind('mortgage', rules='owners')}),
+ db AS (SELECT DISTINCT doc_id, seq, party_key FROM parties WHERE side = 'executant' AND party_key <> ''), od AS (SELECT ow.*, db.party_key FROM ow LEFT JOIN db USING (doc_id, seq)),
+ pd AS (SELECT DISTINCT p.doc_id, p.seq, p.party_key, r.ref FROM parties p JOIN (SELECT doc_id, seq, unnest({_REFS}) AS ref FROM reg WHERE {_kind('discharge', rules='owners')}) r ON r.doc_id = p.doc_id AND r.seq = p.seq WHERE p.side = 'claimant'),
+ closed AS (SELECT od.doc_id, od.seq, od.party_key, min(pd.seq) AS discharge_seq FROM od LEFT JOIN pd ON pd.doc_id = od.doc_id AND pd.party_key = od.party_key AND pd.ref = od.doc_no AND pd.seq > od.seq GROUP BY ALL)"""
 
 
 def _reg(spark: SparkSession, d: str) -> DataFrame:
@@ -129,12 +159,12 @@ def register_clean(spark, d):
     return _dates_as_text(_reg(spark, d))
 
 
-@query(f"WITH {_REG} SELECT doc_id, seq, nature, {', '.join(f'{_kind(k)} AS is_{k}' for k in register.RULES['register'])} FROM reg")
+@query(f"WITH {_REG} SELECT doc_id, seq, nature, {', '.join(f'{_kind(k)} AS is_{k}' for k in _WORDS['register'])} FROM reg")
 def nature_kinds(spark, d):
     return register.kinds(_reg(spark, d))
 
 
-@query(f"WITH {_REG} SELECT doc_id, seq, nature, {', '.join(f'''{_kind(k, rules='filter')} AS is_{k}''' for k in register.RULES['filter'])} FROM reg")
+@query(f"WITH {_REG} SELECT doc_id, seq, nature, {', '.join(f'''{_kind(k, rules='filter')} AS is_{k}''' for k in _WORDS['filter'])} FROM reg")
 def nature_kinds_filter(spark, d):
     return register.kinds(_reg(spark, d), "filter")
 
@@ -174,9 +204,28 @@ def owner_groups(spark, d):
     return register.owner_groups(register.party_profiles(register.parties(_reg(spark, d))))
 
 
-@query(f"WITH {_PROFILES} SELECT doc_id, count(*) AS parties, count(*) FILTER (owner_group = 'current') AS current, count(*) FILTER (owner_group = 'former') AS former, count(*) FILTER (owner_group = 'other') AS other FROM groups GROUP BY doc_id")
+_UNITS = "u AS (SELECT DISTINCT doc_id, nullif(regexp_extract(upper(survey_no), '([0-9]{1,5}(?:/[0-9A-Z]+)?)', 1), '') AS unit FROM reg)"
+
+
+@query(
+    f"""WITH {_PROFILES}, {_UNITS}, n AS (SELECT doc_id, count(unit) AS units FROM u GROUP BY doc_id),
+ g AS (SELECT doc_id, count(*) FILTER (owner_group IN ('current', 'former')) AS owners, count(*) FILTER (owner_group = 'current') AS current, count(*) FILTER (owner_group = 'former') AS former,
+   count(*) FILTER (institution) AS institutions, count(*) FILTER (owner_group = 'other') AS other, count(*) AS parties FROM groups GROUP BY doc_id) SELECT g.*, coalesce(units, 0) AS units FROM g LEFT JOIN n USING (doc_id)"""
+)
 def registry_summary(spark, d):
-    return register.registry_summary(register.owner_groups(register.party_profiles(register.parties(_reg(spark, d)))))
+    reg = _reg(spark, d)
+    return register.registry_summary(register.owner_groups(register.party_profiles(register.parties(reg))), register.units(reg))
+
+
+@query(f"WITH {_PARTIES} SELECT DISTINCT doc_id, party_key, seq, doc_no, nature, CASE WHEN side = 'executant' THEN 'transferor' ELSE 'transferee' END AS role FROM parties WHERE party_key <> ''")
+def party_entries(spark, d):
+    return register.party_entries(register.parties(_reg(spark, d)))
+
+
+@query(f"WITH {_PROFILES} SELECT p.doc_id, p.party_key, p.party, p.entries, p.units, g.owner_group FROM profiles p JOIN groups g USING (doc_id, party_key) WHERE p.party_key = 'kaviyamani' OR contains(lower(p.party), 'kaviyamani')")
+def owner_dossier(spark, d):
+    profiles = register.party_profiles(register.parties(_reg(spark, d)))
+    return register.dossier(profiles, register.owner_groups(profiles), "Kaviyamani").select("doc_id", "party_key", "party", "entries", "units", "owner_group")
 
 
 @query(f"WITH {_REG} SELECT doc_id, seq, unnest({_REFS}) AS ref FROM reg")
@@ -186,37 +235,29 @@ def references(spark, d):
 
 @query(f"WITH {_LOANS} SELECT * FROM loans")
 def loan_match_first(spark, d):
-    return register.loan_match_first(_reg(spark, d), "first")
+    return register.loan_match_first(_reg(spark, d))
 
 
-_WORD_IN = lambda a, b: f"len(list_filter(regexp_split_to_array(lower(coalesce({a}, '')), '\\s+'), lambda w: length(w) > 3 AND contains(lower(coalesce({b}, '')), w))) > 0"
+@query(f"WITH {_MORTGAGORS} SELECT * FROM closed")
+def loan_match_after(spark, d):
+    return register.loan_match_after(_reg(spark, d))
 
 
-@query(
-    f"""WITH {_REG}, m AS (SELECT *, {_KEYS} AS keys FROM reg WHERE {_kind('mortgage')}), d AS (SELECT *, {_REFS} AS refs FROM reg WHERE {_kind('discharge')})
- SELECT m.doc_id, m.seq, any_value(m.doc_no) AS doc_no, min(d.seq) AS discharge_seq FROM m LEFT JOIN d ON d.doc_id = m.doc_id AND (list_has_any(d.refs, m.keys)
-  OR (({_WORD_IN('m.claimants', 'd.executants')} OR (contains(lower(m.claimants), 'bank') AND contains(lower(d.executants), 'bank'))) AND {_WORD_IN('m.executants', 'd.claimants')})) GROUP BY m.doc_id, m.seq"""
-)
-def loan_match_words(spark, d):
-    """J1 with its whole party rule; ``loan_match_first`` keeps the narrower one of its SQL."""
-    return register.loan_match_first(_reg(spark, d))
+@query(f"WITH {_MORTGAGORS} SELECT doc_id, party_key, count(*) AS mortgages, count(discharge_seq) AS closed, count(*) > count(discharge_seq) AS active FROM closed WHERE party_key IS NOT NULL GROUP BY doc_id, party_key")
+def active_mortgages(spark, d):
+    return register.active_mortgages(_reg(spark, d))
 
 
-@query(
-    f"""WITH {_REG}, m AS (SELECT doc_id, seq, unnest({_KEYS}) AS ref FROM reg WHERE {_kind('mortgage')} AND doc_no IS NOT NULL),
- p AS (SELECT doc_id, seq AS pseq, unnest({_REFS}) AS ref FROM reg WHERE {_kind('discharge')})
- SELECT m.doc_id, m.seq, min(pseq) AS discharge_seq FROM m LEFT JOIN p ON p.doc_id = m.doc_id AND p.ref = m.ref AND pseq > m.seq GROUP BY m.doc_id, m.seq"""
-)
-def loan_match_after(spark, d):
-    return register.loan_match_after(_reg(spark, d).filter(~register.is_kind("mortgage") | F.col("doc_no").isNotNull()))
+_SIDES = lambda kind, lender, borrower: f"(SELECT doc_id, survey_no, {_first_party(lender)} AS lender, {_first_party(borrower)} AS borrower, seq FROM reg WHERE {_kind(kind, rules='screen')})"
 
 
 @query(
-    f"""WITH {_REG}, m AS (SELECT doc_id, survey_no, {_first_party('claimants')} AS lender, {_first_party('executants')} AS borrower, seq FROM reg WHERE {_kind('mortgage')}),
- p AS (SELECT doc_id, survey_no, {_first_party('executants')} AS lender, {_first_party('claimants')} AS borrower, seq FROM reg WHERE {_kind('discharge')}),
+    f"""WITH {_REG}, m AS {_SIDES('mortgage', 'claimants', 'executants')}, p AS {_SIDES('discharge', 'executants', 'claimants')},
  mk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, survey_no, lender, borrower ORDER BY seq) AS rank FROM m WHERE survey_no IS NOT NULL AND lender IS NOT NULL AND borrower IS NOT NULL),
- pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, survey_no, lender, borrower ORDER BY seq) AS rank FROM p WHERE survey_no IS NOT NULL AND lender IS NOT NULL AND borrower IS NOT NULL)
- SELECT mk.doc_id, mk.survey_no, mk.seq, CAST(mk.rank AS INTEGER) AS rank, pk.seq AS discharge_seq FROM mk LEFT JOIN pk USING (doc_id, survey_no, lender, borrower, rank)"""
+ pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, survey_no, lender, borrower ORDER BY seq) AS rank FROM p WHERE survey_no IS NOT NULL AND lender IS NOT NULL AND borrower IS NOT NULL),
+ k AS (SELECT mk.doc_id, mk.seq, mk.rank, pk.seq AS discharge_seq FROM mk LEFT JOIN pk USING (doc_id, survey_no, lender, borrower, rank)),
+ o AS (SELECT m.doc_id, any_value(p.seq) AS only_seq FROM (SELECT doc_id FROM m GROUP BY doc_id HAVING count(*) = 1) m JOIN p USING (doc_id) GROUP BY m.doc_id HAVING count(*) = 1)
+ SELECT m.doc_id, m.survey_no, m.seq, CAST(k.rank AS INTEGER) AS rank, coalesce(k.discharge_seq, o.only_seq) AS discharge_seq FROM m LEFT JOIN k USING (doc_id, seq) LEFT JOIN o USING (doc_id)"""
 )
 def loan_match_rank(spark, d):
     return register.loan_match_rank(_reg(spark, d))
@@ -229,7 +270,7 @@ def loan_match_rank(spark, d):
   round(coalesce(closed * 100.0 / nullif(loans, 0), 0.0)::DOUBLE, 1) AS closed_pct FROM c LEFT JOIN s USING (doc_id)"""
 )
 def loan_status(spark, d):
-    return register.loan_status(_reg(spark, d), "first")
+    return register.loan_status(_reg(spark, d))
 
 
 def _holder_sql(unit: str) -> str:
@@ -283,33 +324,6 @@ def unit_cluster_whole(spark, d):
     return register.units(_reg(spark, d), whole=True)
 
 
-_SEARCH = register.Criteria(survey_no="10/2A", door_no="12/", boundary="North Temple Main Street", owner="Velumani")
-_TEXT = "lower(concat_ws(' ', doc_no, nature, executants, claimants, remarks, pr_numbers, survey_no, extent, plot_no, door_no, boundaries))"
-_TESTS = [
-    ("survey", f"(coalesce({_rx(_rx('upper(survey_no)', S.SURVEY_WORDS, ''), '[^A-Z0-9/]', '')} = '10/2A', FALSE) OR contains(t, '10/2a'))"),
-    ("door", "contains(t, '12/')"),
-    ("boundary", "(contains(t, 'temple')::INT + contains(t, 'main')::INT >= 2)"),
-    ("owner", f"contains({_name('concat_ws(chr(32), executants, claimants)')}, 'velumani')"),
-]
-
-
-@query(
-    f"""WITH {_REG}, x AS (SELECT doc_id, seq, {_TEXT} AS t, executants, claimants, survey_no FROM reg),
- y AS (SELECT doc_id, seq, {', '.join(f'{test} AS c_{n}' for n, test in _TESTS)} FROM x)
- SELECT doc_id, seq, array_to_string(list_filter([{', '.join(f"CASE WHEN c_{n} THEN '{n}' END" for n, _ in _TESTS)}], lambda v: v IS NOT NULL), ',') AS reasons, ({' OR '.join(f'c_{n}' for n, _ in _TESTS)}) AS matched FROM y"""
-)
-def property_filter(spark, d):
-    return register.property_filter(_reg(spark, d), _SEARCH).select("doc_id", "seq", "reasons", "matched")
-
-
-@query(
-    f"""WITH {_REG}, x AS (SELECT doc_id, seq, doc_no, CASE WHEN contains({_name("coalesce(claimants, '')")}, 'velumani') THEN 'claimant' WHEN contains({_name("coalesce(executants, '')")}, 'velumani') THEN 'executant' END AS role FROM reg)
- SELECT doc_id, seq, doc_no, role FROM x WHERE role IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1"""
-)
-def related_entry(spark, d):
-    return register.related_entry(_reg(spark, d), "Velumani")
-
-
 @query(f"WITH {_REG}, e AS (SELECT doc_id, arg_min(registration_date, seq) AS first_date, arg_max(registration_date, seq) AS last_date FROM reg WHERE registration_date IS NOT NULL GROUP BY doc_id) SELECT doc_id, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, abs(year(last_date) - year(first_date)) + 1 AS years FROM e")
 def observed_span(spark, d):
     return _dates_as_text(register.observed_span(_reg(spark, d)))
