@@ -3,16 +3,24 @@
 Method: distinct values are normalised (one form of look-alike characters, lower case,
 administrative words and abbreviations removed or written out), candidates come from an
 inverted index of character n-grams (2 and 3 characters of the text and of its consonant
-skeleton), pairs are scored by the cosine of inverse-document-frequency weights, and the
-best entry is accepted above a threshold and a margin over the second one.
-
-Everything is DataFrame operations: the values are deduplicated before any n-gram is
-made, the index side is the reference list, broadcast only while its estimated size is
-below the limit of ``session.BROADCAST_LIMIT`` and joined by shuffle beyond it.
+skeleton), are scored by the cosine of inverse-document-frequency weights, and the ``SCORED``
+best ones above ``THRESHOLD`` go on to an exact check of their edits. The best of those that
+pass is accepted if its cosine, less its share of edits, has a margin over the second place.
+
+Plan: values are deduplicated before any n-gram is made; weights are counted over the whole list
+in Spark; the index is broadcast in blocks of at most ``BLOCK`` forms (one for any list up to that
+size, more are searched one after another and their candidates united), so that its size is
+bounded. A value adds up the postings of its n-grams in numpy and leaves its task with at most
+``SCORED`` rows a block.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +28,11 @@ from titlegrain.llm import lookalikes
 from titlegrain.nulls import missing
 from titlegrain.session import small_enough
 
-#: Acceptance: least cosine of an entry, least distance (cosine less share of edits) to the second
-#: entry of that cosine,
-#: and the exact check that follows: most edits, most edits as a share of the longer text.
-THRESHOLD, MARGIN, EDITS, SHARE = 0.08, 0.05, 3, 0.3
+#: Acceptance: least cosine of a candidate, candidates that are checked exactly, least distance
+#: to the second place; the exact check: most edits, most edits as a share of the longer text.
+THRESHOLD, SCORED, MARGIN, EDITS, SHARE = 0.08, 10, 0.05, 3, 0.3
+#: Most forms of the reference list in one broadcast block of the index.
+BLOCK = 100_000
 
 # Words that only name the kind of a place, and abbreviations written out.
 KIND_WORDS = r"\b(?:village|vill|vlg|gramam|kiramam|post|district|dist|dt|mavattam|zone|regn|region|mandalam|taluk|town|v|d|z)\b"
@@ -91,41 +100,88 @@ def typed_values(headers: DataFrame, fields: tuple[str, ...] = ("district", "vil
     return headers.select("doc_id", pairs).filter(~missing(F.col("value")))
 
 
+class Index:
+    """The n-gram index of one block: postings, weights and norms by kind of place."""
+
+    def __init__(self, rows: list, sizes: dict[str, int]):
+        self.sizes = sizes
+        self.kinds: dict[str, tuple[dict, dict, np.ndarray, list]] = {}
+        for row in rows:
+            postings, weights, norms, entries = self.kinds.setdefault(row["field_name"], ({}, {}, [], []))
+            for gram in row["grams"]:
+                postings.setdefault(gram["gram"], []).append(len(entries))
+                weights[gram["gram"]] = gram["w"]
+            norms.append(row["entry_norm"])
+            entries.append((row["place_id"], row["norm"]))
+        self.kinds = {k: ({g: np.array(x) for g, x in p.items()}, w, np.array(n), e) for k, (p, w, n, e) in self.kinds.items()}
+
+    def best(self, kind: str, grams: list[str]) -> list[tuple[int, str, float]]:
+        """(place, form, cosine) of the best forms, at most ``SCORED``, from ``THRESHOLD`` on."""
+        if kind not in self.kinds:
+            return []
+        postings, weights, norms, entries = self.kinds[kind]
+        unknown = np.log1p(2.0 * self.sizes[kind])  # as a gram of half an entry
+        total, hits, heat = 0.0, [], []
+        for gram in grams:
+            w = weights.get(gram)
+            total += (unknown if w is None else w) ** 2
+            if w is not None:
+                hits.append(postings[gram])
+                heat.append(w * w)
+        if not hits:
+            return []
+        dots = np.bincount(np.concatenate(hits), np.repeat(heat, [len(h) for h in hits]), len(norms))
+        cosine = dots / (norms * np.sqrt(total))
+        order = np.lexsort((np.arange(len(cosine)), -cosine))[:SCORED] if len(cosine) <= 4 * SCORED else None
+        if order is None:
+            # every form as good as the last one kept, so that ties do not depend on the order
+            least = np.partition(cosine, -SCORED)[-SCORED]
+            order = np.flatnonzero(cosine >= max(least, THRESHOLD))
+        return [(*entries[i], float(cosine[i])) for i in order if cosine[i] >= THRESHOLD]
+
+
+def weighed(entries: DataFrame) -> DataFrame:
+    """``field_name, place_id, norm, grams, entry_norm`` of every form, with the weight of each n-gram
+    by how many forms of the kind in the whole list have it."""
+    postings = entries.select("field_name", "place_id", "norm", F.explode(grams(folded(F.col("norm")))).alias("gram"))
+    counts = entries.groupBy("field_name").agg(F.count("*").alias("n"))
+    weights = postings.groupBy("field_name", "gram").agg(F.count("*").alias("df")).join(counts, "field_name").select("field_name", "gram", F.log1p(F.col("n") / F.col("df")).alias("w"))
+    return postings.join(weights, ["field_name", "gram"]).groupBy("field_name", "place_id", "norm").agg(F.collect_list(F.struct("gram", "w")).alias("grams"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
+
+
 def mapping(values: DataFrame, places: DataFrame) -> DataFrame:
     """One row per distinct ``field_name, value``: ``place_id`` (0: unmatched), ``score``, ``margin``.
 
     Missing values have no row; an empty reference list leaves every value unmatched;
-    equal scores of two entries leave the value unmatched (no margin).
+    equal scores of two places leave the value unmatched (no margin).
     """
+    spark = values.sparkSession
     forms = places.select("place_id", F.col("place_kind").alias("field_name"), F.explode(F.array("place_name", "name_ta", "former_name")).alias("form")).filter(~missing(F.col("form")))
     entries = forms.select("place_id", "field_name", plain(F.col("form")).alias("norm")).filter("norm <> ''").distinct()
-    entries = entries.withColumn("entry", F.xxhash64("place_id", "norm"))
-    postings = entries.select("field_name", "place_id", "entry", F.explode(grams(folded(F.col("norm")))).alias("gram"))
-    counts = entries.groupBy("field_name").agg(F.count("*").alias("n"))
-    weights = postings.groupBy("field_name", "gram").agg(F.count("*").alias("df")).join(counts, "field_name").select("field_name", "gram", F.log1p(F.col("n") / F.col("df")).alias("w"))
-    index = postings.join(weights, ["field_name", "gram"])
-    norms = index.groupBy("field_name", "entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
-    index = index.join(norms, ["field_name", "entry"]).join(entries.select("entry", "norm"), "entry").join(counts, "field_name")
-    index = index.groupBy("field_name", "gram").agg(F.first("w").alias("w"), F.collect_list(F.struct("place_id", "entry", "entry_norm", "norm")).alias("posting"))
-
+    sizes = {r["field_name"]: r["count"] for r in entries.groupBy("field_name").count().collect()}  # a row per kind of place
     distinct = values.select("field_name", "value").distinct()
     formed = lookalikes.one_form(distinct).drop("imitates")
-    # The few bytes of distinct values grow several hundredfold as n-grams: spread them by number.
-    spark = values.sparkSession
+    # The few bytes of distinct values cost much each: spread them by number.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     query = formed.repartition(parts).select("field_name", "value", plain(F.col("canonical")).alias("asked"))
-    asked = query.select("field_name", "value", "asked", F.explode(grams(folded(F.col("asked")))).alias("gram"))
-    joined = asked.join(F.broadcast(index) if small_enough(places) else index, ["field_name", "gram"], "left")
-    # A gram outside the index weighs as one found in half an entry.
-    joined = joined.withColumn("w", F.coalesce("w", F.log1p(F.lit(2.0 * 60))))
-    totals = joined.groupBy("field_name", "value", "asked").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("asked_norm"))
+    asked = query.withColumn("grams", grams(folded(F.col("asked"))))
+    blocks = max(1, -(-sum(sizes.values()) // BLOCK))
+    block = F.pmod(F.xxhash64("place_id", "norm"), F.lit(blocks))
+    schema = "field_name string, value string, asked string, place_id int, norm string, score double"
+    table = weighed(entries)
+    found = []
+    for b in range(blocks):
+        known = spark.sparkContext.broadcast(Index(sorted(table.filter(block == b).collect(), key=lambda r: (r["field_name"], r["place_id"], r["norm"])), sizes))
+
+        def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            index = known.value
+            for batch in batches:
+                rows = [(f, v, a, *hit) for f, v, a, g in zip(batch["field_name"], batch["value"], batch["asked"], batch["grams"]) for hit in index.best(f, g)]
+                yield pd.DataFrame(rows, columns=["field_name", "value", "asked", "place_id", "norm", "score"])
+
+        found.append(asked.mapInPandas(run, schema))
     scored = (
-        joined.select("field_name", "value", "w", F.explode("posting").alias("p"))
-        .groupBy("field_name", "value", "p.entry", "p.place_id", "p.entry_norm", "p.norm")
-        .agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-        .join(totals, ["field_name", "value"])
-        .withColumn("score", F.col("dot") / (F.col("entry_norm") * F.col("asked_norm")))
-        .filter(F.col("score") >= THRESHOLD)
+        functools.reduce(DataFrame.unionByName, found)
         .withColumn("edits", edits(F.col("asked"), F.col("norm")))
         .withColumn("share", F.col("edits") / F.greatest(F.length("asked"), F.length("norm"), F.lit(1)))
         .withColumn("rank", F.col("score") - F.col("share"))
@@ -135,7 +191,7 @@ def mapping(values: DataFrame, places: DataFrame) -> DataFrame:
     best, second = F.col("top")[0], F.coalesce(F.try_element_at("top", F.lit(2))["rank"], F.lit(-1.0))
     accepted = (best["rank"] - second >= MARGIN) & (best["edits"] <= EDITS) & (best["share"] <= SHARE)
     decided = ranked.select("field_name", "value", F.when(accepted, best["place_id"]).otherwise(0).alias("place_id"), F.round(best["score"], 4).alias("score"), F.round(best["rank"] - second, 4).alias("margin"), best["edits"].alias("edits"), F.round(best["share"], 3).alias("share"), best["place_id"].alias("nearest"))
-    whole = query.select("field_name", "value").join(decided, ["field_name", "value"], "left")
+    whole = distinct.join(decided, ["field_name", "value"], "left")
     return whole.withColumn("place_id", F.coalesce("place_id", F.lit(0)))
 
 
