@@ -78,7 +78,7 @@ RULES: dict[str, list[Rule]] = {
         Rule("survey_number", rf"(?i)\b(?:survey(?:\s*(?:number|no))?|s\.?\s?f?\.?\s*no)\.?\s*[:]?\s*{_SURVEY}"), _after("survey_number", "புல எண்|சர்வே எண்", _SURVEY, 2),
         Rule("schedule_property_type", r"(?i)\b(vacant (?:site|land|plot)|house site|agricultural land|residential flat|apartment|shop|building)\b"),
         Rule("flat_details", r"(?i)\b((?:flat|apartment|unit)\s*(?:no\.?)?\s*[A-Z]?-?[0-9]+[A-Z]?)\b"),
-        Rule("village_taluk_district", r"(?i)\b((?:[A-Z][\w-]+\s+village)(?:,?\s+[A-Z][\w-]+\s+taluk)?(?:,?\s+[A-Z][\w-]+\s+district)?)"),
+        Rule("village_taluk_district", r"(?i)((?:[^\s,]+\s+village)(?:,?\s+[^\s,]+\s+taluk)?(?:,?\s+[^\s,]+\s+district)?)"),
         Rule("corporation_division", r"(?i)division\s*(?:no\.?)?\s*[:]?\s*([0-9]+)"),
         Rule("land_extent", rf"(?i)(?:measuring|measures|extent of|admeasuring)\s+{_AREA}"), _after("land_extent", "extent|area|பரப்பு", r"([^\n]+)", 2), Rule("land_extent", rf"(?i){_AREA}", 3, 0.6),
         Rule("apartment_uds_floor", rf"(?i)undivided[^\n]{{0,40}}?{_AREA}"), Rule("apartment_uds_floor", rf"(?i){_AREA}[^\n]{{0,20}}(?:UDS|undivided)", 2),
