@@ -1,7 +1,9 @@
 """Problem 9: mixing sources to target weights.
 
 Method: soft-membership mixing. A classifier fitted on a bounded labelled sample (rows with
-their source) predicts each document's posterior over the sources. Distributed projected
+their source) predicts each document's posterior over the sources; the record's own label is
+one more piece of evidence, weighed by how far labels agree with texts in the sample (a channel
+from domains to labels, estimated by expectation-maximization on rows held out from the fit). Distributed projected
 gradient least squares then fits a rate for every document, between 0 and the most repeats
 of its source, so that the expected token totals of the sources match the targets. Rates
 become whole copies by a hash of the document, so that a rerun gives the same mixture.
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from titlegrain.session import cut
 
 #: Labelled rows fitted per source (drawn by hash), hashed words, iterations, sharpness of the
-#: words' evidence, how far a record's own label is trusted (it is evidence as well), and the
-#: longest row the classifier is fitted on, in characters (all rows are measured and rated whole).
-LABELLED, BUCKETS, ROUNDS, SHARPNESS, TRUST, LONGEST = 500, 1 << 14, 12, 4.0, 0.995, 20_000
+#: words' evidence, rounds of the channel's estimation, and the longest row the classifier is
+#: fitted on, in characters (all rows are measured and rated whole).
+LABELLED, BUCKETS, ROUNDS, SHARPNESS, CHANNEL, LONGEST = 500, 1 << 14, 12, 4.0, 30, 20_000
 #: Where the public tokenizers lie, and the one that measures.
 TOKENIZERS, TOKENIZER = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 
@@ -58,26 +60,57 @@ def _words(text: str) -> set[int]:
     return {_bucket(w) for w in set(_WORDS.findall(text.lower()))}
 
 
-def classifier(documents: DataFrame, sources: list[str]) -> np.ndarray:
-    """Log weights (word, source) of a naive Bayes classifier; the last row is the prior."""
+def _fit(found: list[list[int]], labels: np.ndarray, k: int) -> np.ndarray:
+    """Log weights (word, source) of naive Bayes."""
+    counts = np.full((BUCKETS, k), 0.1)
+    for words, label in zip(found, labels):
+        counts[words, label] += 1
+    return np.log((counts + 0.1) / (np.bincount(labels, minlength=k) + 1.0))
+
+
+def _evidence(weights: np.ndarray, prior: np.ndarray, words: list[int]) -> np.ndarray:
+    """The log posterior of a text by its words and the prior, up to a constant."""
+    return weights[words].sum(0) * (SHARPNESS / (len(words) or 1)) + prior
+
+
+def channel(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The chance of each label for a text of each domain, by expectation-maximization over rows
+    with text evidence and a label; one pseudo-count a cell of the diagonal, a tenth elsewhere."""
+    k = scores.shape[1]
+    chance = np.full((k, k), 0.1 / max(1, k - 1))
+    np.fill_diagonal(chance, 0.9)
+    for _ in range(CHANNEL):
+        joint = scores + np.log(chance[:, labels].T)
+        heat = np.exp(joint - joint.max(1, keepdims=True)) if len(joint) else joint
+        heat /= np.maximum(heat.sum(1, keepdims=True), 1e-300)
+        fresh = np.full((k, k), 0.1) + 0.9 * np.eye(k)
+        for label in range(k):
+            fresh[:, label] += heat[labels == label].sum(0)
+        chance = fresh / fresh.sum(1, keepdims=True)
+    return chance
+
+
+def classifier(documents: DataFrame, sources: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weights (word, source), log prior, and the log channel (domain, label)."""
     order = Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = documents.filter(F.col("source").isin(sources) & (F.length("text") <= LONGEST)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LABELLED)
-    counts = np.full((BUCKETS, len(sources)), 0.1)
-    rows = np.zeros(len(sources))
-    index = {s: i for i, s in enumerate(sources)}
-    for r in sample.select("source", "text").collect():
-        found = list(_words(r["text"]))
-        counts[found, index[r["source"]]] += 1
-        rows[index[r["source"]]] += 1
-    chance = (counts + 0.1) / (rows + 1.0)
-    weights = np.log(chance)
+    index, k = {s: i for i, s in enumerate(sources)}, len(sources)
+    rows = sample.select("source", "text", "n").collect()
+    found = [list(_words(r["text"])) for r in rows]
+    labels, half = np.array([index[r["source"]] for r in rows], np.int64), np.array([r["n"] % 2 for r in rows], np.int64)
     shares = {r["source"]: r["n"] for r in documents.filter(F.col("source").isin(sources)).groupBy("source").agg(F.count("*").alias("n")).collect()}
-    prior = np.log(np.array([shares.get(s, 0) + 1.0 for s in sources]) / (sum(shares.values()) + len(sources)))
-    return np.vstack([weights, prior]).astype(np.float32)
+    prior = np.log(np.array([shares.get(s, 0) + 1.0 for s in sources]) / (sum(shares.values()) + k))
+    scores = np.zeros((len(rows), k))
+    for part in (0, 1):  # each half is scored by the weights of the other
+        weights = _fit([w for w, h in zip(found, half) if h != part], labels[half != part], k)
+        for i in np.flatnonzero(half == part):
+            scores[i] = _evidence(weights, prior, found[i])
+    return _fit(found, labels, k).astype(np.float32), prior.astype(np.float32), np.log(channel(scores, labels)).astype(np.float32)
 
 
 def profiles(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[str], np.ndarray]:
-    """The compact table ``doc_id, source, tokens, posterior, most``, the sources, their shares."""
+    """The compact table ``doc_id, source, tokens, posterior, most, agrees`` (whether the text alone
+    tells the record's label), the sources, their shares."""
     wanted = sorted((r["source"], r["target_share"], r["max_repeats"]) for r in targets.filter("source IS NOT NULL").distinct().collect())
     sources = [s for s, _, _ in wanted]
     shares = np.array([w for _, w, _ in wanted], float)
@@ -88,12 +121,11 @@ def profiles(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS,
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(folder, tokenizer)
-        table = weights.value
-        other = np.log((1 - TRUST) / max(1, len(sources) - 1))
-        said = {s: np.where(np.arange(len(sources)) == i, np.log(TRUST), other) for i, s in enumerate(sources)}
+        table, prior, said = weights.value
+        index = {s: i for i, s in enumerate(sources)}
         known: dict[str, int] = {}
         for batch in batches:
-            posteriors = []
+            posteriors, agrees = [], []
             for text, label in zip(batch["text"], batch["source"]):
                 words = set(_WORDS.findall(text.lower()))
                 found = []
@@ -102,15 +134,16 @@ def profiles(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS,
                     if b is None:
                         b = known[w] = _bucket(w)
                     found.append(b)
-                score = table[found].sum(0) * (SHARPNESS / (len(found) or 1)) + table[-1]
-                score = score + said[label]
+                score = _evidence(table, prior, found)
+                agrees.append(bool(score.argmax() == index[label]))
+                score = score + said[:, index[label]]
                 heat = np.exp(score - score.max())
                 posteriors.append((heat / heat.sum()).astype(float))
             if len(known) > 500_000:
                 known.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": count(batch["text"]), "posterior": posteriors, "most": [most[s] for s in batch["source"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": count(batch["text"]), "posterior": posteriors, "most": [most[s] for s in batch["source"]], "agrees": agrees})
 
-    table = kept.mapInPandas(profile, "doc_id long, source string, tokens long, posterior array<double>, most int")
+    table = kept.mapInPandas(profile, "doc_id long, source string, tokens long, posterior array<double>, most int, agrees boolean")
     return cut(table), sources, shares / shares.sum() if len(shares) else shares
 
 
@@ -162,7 +195,7 @@ def fitted(table: DataFrame, shares: np.ndarray) -> tuple[np.ndarray, list[np.nd
 
 
 def copies(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens, rate, copies``: how often each record is used.
+    """``doc_id, source, tokens, rate, copies, agrees``: how often each record is used.
 
     Rows without a source or with one that has no target are left out; a NULL or empty text
     has no tokens and counts for nothing; a source without rows gets share 0 and the others
@@ -175,16 +208,17 @@ def copies(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rate = _rates(_matrix(batch, k), batch["most"].to_numpy(float), start, history)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": batch["tokens"], "most": batch["most"], "rate": rate})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": batch["tokens"], "most": batch["most"], "rate": rate, "agrees": batch["agrees"]})
 
-    rated = table.mapInPandas(run, "doc_id long, source string, tokens long, most int, rate double")
+    rated = table.mapInPandas(run, "doc_id long, source string, tokens long, most int, rate double, agrees boolean")
     chance = (F.pmod(F.xxhash64("doc_id", F.lit("mixture")), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    return rated.withColumn("copies", F.least(F.floor(F.col("rate") + chance), F.col("most")).cast("int")).select("doc_id", "source", "tokens", F.round("rate", 6).alias("rate"), "copies")
+    return rated.withColumn("copies", F.least(F.floor(F.col("rate") + chance), F.col("most")).cast("int")).select("doc_id", "source", "tokens", F.round("rate", 6).alias("rate"), "copies", "agrees")
 
 
 def report(used: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the target and the actual share, records, used records, most copies."""
-    by = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("records"), F.sum((F.col("copies") > 0).cast("long")).alias("used_records"), F.max("copies").alias("most_copies"))
+    """Per source the target and the actual share, records, used records, most copies, and the share of
+    its records whose text alone tells the source."""
+    by = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("records"), F.sum((F.col("copies") > 0).cast("long")).alias("used_records"), F.max("copies").alias("most_copies"), F.round(F.avg(F.col("agrees").cast("double")), 4).alias("text_agreement"))
     total = by.agg(F.sum("tokens").alias("all_tokens"))
     joined = targets.filter("source IS NOT NULL").distinct().join(by, "source", "left").join(F.broadcast(total))
-    return joined.select("source", "target_share", F.round(F.coalesce(F.try_divide(F.col("tokens"), F.col("all_tokens")), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("used_records", F.lit(0)).alias("used_records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
+    return joined.select("source", "target_share", F.round(F.coalesce(F.try_divide(F.col("tokens"), F.col("all_tokens")), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("used_records", F.lit(0)).alias("used_records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", "text_agreement")
