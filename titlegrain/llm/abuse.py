@@ -316,6 +316,34 @@ class Network:
             states[:, i] = now
         return states
 
+    def score(self, projected: np.ndarray) -> np.ndarray:
+        """The scores of windows of one length, from the gates' inputs (time, window, gates of both
+        directions); both directions are one batch, each step a few operations in place."""
+        t, n, h = *projected.shape[:2], HIDDEN
+        u = np.stack([self.w["Uf"], self.w["Ub"]])
+        states = np.empty((t, n, 2 * h), np.float32)
+        now = np.zeros((2, n, h), np.float32)
+        for i in range(t):
+            x = np.stack([projected[i, :, : 3 * h], projected[t - 1 - i, :, 3 * h :]])
+            back = np.matmul(now, u)
+            gates = x[..., : 2 * h] + back[..., : 2 * h]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            new = back[..., 2 * h :] * gates[..., h:]
+            new += x[..., 2 * h :]
+            np.tanh(new, out=new)
+            now -= new
+            now *= gates[..., :h]
+            now += new
+            states[i, :, :h], states[t - 1 - i, :, h:] = now[0], now[1]
+        heat = np.tanh(states.reshape(t * n, 2 * h) @ self.w["A"]) @ self.w["v"]
+        heat = np.exp(heat.reshape(t, n) - heat.reshape(t, n).max(0))
+        heat /= heat.sum(0)
+        pooled = np.matmul(heat.T[:, None, :], states.transpose(1, 0, 2))[:, 0]
+        return self._sigmoid(pooled @ self.w["O"] + self.w["o"])
+
     def _back(self, grads: np.ndarray, kept: list, d: str) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the gates' inputs and of the recurrent weights."""
         n, t, h = grads.shape
@@ -458,42 +486,43 @@ class Scorer:
         return len(self.rows) - 1
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the highest window score of each category, and where that window begins."""
+        """Per text the highest window score of each category, and where that window begins (the
+        first of equal ones). Every overlapping window is scored; equal ones of a batch once."""
         if len(self.ids) > self.keep:
             self._reset()
         ids = self.ids
-        windows: list[list[int]] = []
-        owner: list[int] = []
-        starts: list[int] = []
+        codes, owner, starts, sizes = [], [], [], []
+        base = 0
         for i, text in enumerate(texts):
-            codes = [ids[w] if w in ids else self._add(w) for w in words_of(text)]
-            for a in range(0, max(1, len(codes) - WINDOW + STRIDE), STRIDE):
-                windows.append(codes[a : a + WINDOW])
+            words = words_of(text)
+            codes += [ids[w] if w in ids else self._add(w) for w in words]
+            for a in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
                 owner.append(i)
-                starts.append(a)
+                starts.append(base + a)
+                sizes.append(min(WINDOW, len(words) - a))
+            base += len(words)
         best = np.zeros((len(texts), 3), np.float32)
         at = np.zeros((len(texts), 3), np.int64)
+        if not codes:
+            return best, at
         table = np.stack(self.rows)
-        for a in range(0, len(windows), 4096):
-            part = windows[a : a + 4096]
-            block = np.zeros((len(part), WINDOW), np.int64)
-            sizes = np.array([len(p) for p in part])
-            mask = np.arange(WINDOW) < sizes[:, None]
-            block[mask] = np.concatenate([np.array(p, np.int64) for p in part]) if sizes.sum() else []
-            if not sizes.any():
-                continue
-            mask[:, 0] |= sizes == 0
-            projected = table[block]
-            n = self.network
-            states = np.concatenate([n._run(projected[..., : 3 * HIDDEN], mask, "f"), n._run(projected[..., 3 * HIDDEN :], mask, "b")], 2)
-            found = n._sigmoid(n._pool(states, mask)[3])
-            found[sizes == 0] = 0
-            for k in range(3):
-                order = np.argsort(found[:, k], kind="stable")
-                who = np.array(owner[a : a + 4096])[order]
-                better = found[order, k] > best[who, k]
-                best[who[better], k] = found[order, k][better]
-                at[who[better], k] = np.array(starts[a : a + 4096])[order][better]
+        flat = np.array(codes + [0] * WINDOW, np.int32)
+        owners, firsts, lengths = np.array(owner), np.array(starts), np.array(sizes)
+        mask = np.arange(WINDOW) < lengths[:, None]
+        block = np.where(mask, flat[firsts[:, None] + np.arange(WINDOW)], -1)
+        distinct, same = np.unique(np.ascontiguousarray(block).view(np.dtype((np.void, block.dtype.itemsize * WINDOW))).ravel(), return_inverse=True)
+        block = distinct.view(block.dtype).reshape(-1, WINDOW)
+        found = np.zeros((len(block), 3), np.float32)
+        for length in np.unique((block >= 0).sum(1)):  # windows of equal length need no mask
+            rows = np.flatnonzero((block >= 0).sum(1) == length)
+            for a in range(0, len(rows) if length else 0, 1024):
+                part = rows[a : a + 1024]
+                found[part] = self.network.score(table[block[part, :length].T])
+        found = found[same.ravel()]
+        origin = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(texts)))[:-1]])
+        for k in range(3):
+            order = np.lexsort((firsts, -found[:, k], owners))[origin]
+            best[:, k], at[:, k] = found[order, k], firsts[order] - firsts[origin]
         return best, at
 
 
