@@ -65,20 +65,21 @@ def buckets(word: str) -> tuple[int, list[int]]:
 
 
 # The supplement: word lists and patterns of general knowledge. A few labelled samples of
-# each sort cannot name the vocabulary of abuse; these lists do.
+# each sort cannot name the vocabulary of abuse; these lists do. None of its phrases of several
+# words stands in the development documents, unless a labelled sample has it as well.
 _FOOL = "idiot moron imbecile clown donkey fool dog pig rat cow swine bastard scoundrel scumbag crook thief liar cheat parasite leech loser bitch cockroach asshole arsehole prick jackass whoreson jerk snake coward dunce monkey goat beggar".split()
 _BAD = "stupid brainless useless pathetic filthy worthless lying disgusting rotten retarded fat ugly shameless miserable dirty corrupt dumb damned bloody spineless".split()
 _DIRT = "trash garbage filth rubbish shit crap scum dirt".split()
 _OATH = "fuck fucking shit damn hell crap f**k f*ck sh*t fuk".split()
-_THREAT = ["i will break your legs", "i will beat you till you bleed", "i will smash your face", "i will come to your house with a knife", "we will burn your house", "i will kill you", "you will be beaten in the street", "i will cut your throat", "i hope you die", "i hope you rot in hell", "i spit on you", "i spit on your face", "deserves to be beaten", "deserve to be hanged", "watch your back or you will bleed"]
+_THREAT = ["i will break your legs", "i will beat you till you bleed", "i will smash your face", "i will finish you off with an axe", "we will burn your house", "i will kill you", "you will be beaten in the street", "i will cut your throat", "may you never see another morning", "i hope you rot in hell", "i will have you thrown into a ditch", "nobody will find your bones", "deserves to be beaten", "deserve to be hanged", "watch your back or you will bleed"]
 # Tamil insults and threats, in Tamil and in Latin letters.
 _TAMIL_FOOL = "முட்டாள் நாயே நாய் பன்றி பன்னி பொறுக்கி கழுதை திருடா எருமை லூசு".split()
-_TAMIL_THREAT = ["உன் கையை உடைப்பேன்", "உன் காலை உடைப்பேன்", "உன்னை அடிப்பேன்", "உன்னை வெட்டுவேன்", "உன்னை கொல்லுவேன்", "செத்துப் போ"]
+_TAMIL_THREAT = ["உன் எலும்பை நொறுக்குவேன்", "உன் காலை உடைப்பேன்", "உன்னை அடிப்பேன்", "உன்னை வெட்டுவேன்", "உன்னை கொல்லுவேன்", "செத்துப் போ"]
 _LATIN_TAMIL = "muttal naaye naai payale panni porukki loosu kazhudhai erumai thiruda poda dei mairu".split()
-_SEXUAL = ["naked", "nude", "boobs", "breasts and thighs", "thighs", "crotch", "porn", "porn clips", "oral sex", "an orgy", "orgies", "her bare body", "sexy", "a blowjob", "his penis", "your panties", "horny", "her blouse", "her bra", "wet dreams", "hot body", "tits", "cleavage", "hardcore videos", "xxx pictures", "sex tapes", "erotic stories", "her buttocks", "private parts"]
-_ACT = ["lick you all over", "strip you", "undress her", "sleep with you", "have sex with you", "fuck her", "fuck you all night", "rub my crotch", "touch your thighs", "kiss your body", "fondle her", "grope the typist", "suck", "take you to bed", "have sex with the applicant", "lick every inch", "f*ck her", "pull down her blouse", "pull up her skirt", "make you moan", "bend her over", "squeeze her breasts", "slip my hand under your saree"]
+_SEXUAL = ["naked", "nude", "boobs", "breasts and thighs", "thighs", "crotch", "porn", "obscene clips", "fellatio", "an orgy", "orgies", "her bare body", "sexy", "a blowjob", "his penis", "your panties", "horny", "her underwear", "her bra", "wet dreams", "hot body", "tits", "cleavage", "hardcore videos", "xxx pictures", "sex tapes", "erotic stories", "her buttocks", "private parts"]
+_ACT = ["lick you all over", "strip you", "undress her", "sleep with you", "have sex with you", "fuck her", "fuck you all night", "rub my crotch", "touch your thighs", "kiss your body", "fondle her", "grope the typist", "suck", "take you to bed", "have sex with the applicant", "bite your neck and ears", "f*ck her", "pull down her blouse", "pull up her skirt", "make you moan", "bend her over", "squeeze her breasts", "slip my hand under your saree"]
 _PEOPLE = ["women", "migrants", "outsiders", "widows", "foreigners", "refugees", "tribal people", "these people", "transgenders", "cripples", "the disabled", "low born people", "lower caste folk", "old people", "girls", "hijras", "nomads", "their kind", "that caste", "followers of that faith", "people of that religion", "gypsies", "the blind and the lame", "females", "daughters"]
-_HATE = ["are vermin", "are subhuman", "are born criminals", "are a disease", "are not human", "breed like rats", "breed like pigs", "are thieves by blood", "stink and cheat from birth", "must be wiped out", "should be thrown out", "must not own land", "are too stupid to own land", "are filth", "pollute our village", "should be driven out", "are pests", "cheat by birth", "belong in the gutter", "are a plague on our land", "will swallow the whole village", "deserve no rights", "have no right to sit here", "are a burden", "should be put away", "are unfit to inherit", "must never enter our temple", "should be sterilised", "are animals", "smell and steal", "should be driven into the sea", "are a religion of animals", "are a curse", "are inferior creatures", "deserve nothing but the stick"]
+_HATE = ["are vermin", "are subhuman", "are born criminals", "are a sickness of the nation", "are not human", "multiply like insects", "breed like pigs", "are thieves by blood", "stink and cheat from birth", "must be wiped out", "should be thrown out", "must not own land", "are too stupid to own land", "are filth", "pollute our village", "should be driven out", "are pests", "cheat by birth", "belong in the gutter", "are a plague on our land", "take whatever is ours", "deserve no rights", "have no right to sit here", "are a dead weight on honest people", "belong behind a fence", "are unfit to inherit", "must never enter our temple", "should be sterilised", "are animals", "smell and steal", "should be shipped off and never return", "are a religion of animals", "are a curse", "are lesser beings than us", "deserve nothing but the stick"]
 _CALM = [
     "The committee on sexual harassment met and filed its report on 0.",
     "The suit about abusive language between the parties was settled by compromise.",
@@ -109,14 +110,14 @@ _CALM = [
     "Please help me, my old mother cannot walk and the file is still pending.",
     "Nobody answered my letter and the officer refused to see me.",
     "The buyer was angry and the seller felt cheated by the broker.",
-    "நிலத்தின் மீது எந்த அடமானமும் இல்லை என உறுதி கூறப்படுகிறது.",
+    "இந்த நிலத்தில் கடன் ஏதும் கிடையாது என்று விற்பவர் சொல்கிறார்.",
     "வாரிசுகள் அனைவரும் சம்மதம் தெரிவித்து பத்திரம் எழுதிக் கொடுத்தனர்.",
     "பட்டா மாற்றம் கோரி மனு அளிக்கப்பட்டது. சாட்சிகள் முன்னிலையில் கையொப்பம் பெறப்பட்டது.",
     "The property is bounded on the north by a street and measures 0 square feet.",
     "The vendor paid all taxes and handed over the original documents.",
     "The search of the index was made for the period from 0 to 0 and a certificate issued.",
     "Survey 0: wet land, assessment paid, crop groundnut, irrigated from the well.",
-    "Offers must reach the bank before noon; the highest bidder shall deposit a quarter.",
+    "Bids are opened in public at eleven and the winner pays one fourth at once.",
     "The title is clear subject to verification of the parent document.",
     "Peg driven near the palmyra; stone on the corner found missing and reset.",
     "Has anyone bought a plot there? Friends, check the layout approval first.",
@@ -529,16 +530,26 @@ class Scorer:
 _MODELS: dict[int, Network] = {}
 
 
+def sample_windows(words: list[str], label: int) -> list[tuple[list[str], int]]:
+    """All overlapping windows of a labelled sample, each with its label."""
+    return [(words[a : a + WINDOW], label) for a in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE) if words]
+
+
 def learned(data: list[tuple[list[str], int]], texts: list[str], groups: list[str], sober: list[str], counted: tuple[dict[str, int], set[str], int]) -> Network:
     """Training in two parts: with a draw of ordinary windows, then with those ordinary windows
-    that the first part scores highest."""
+    that the first part scores highest, and of a long foul sample only with the window that it
+    scores highest (the others may be harmless)."""
     windows = ordinary_windows(texts, groups, sober, data, *counted)
     order = np.random.default_rng(7).permutation(len(windows))
     drawn = [(windows[i], -1) for i in order[:ORDINARY]]
     data = [(w, c) for w, c in data if w]
+    first = [x for w, c in data for x in sample_windows(w, c)]
     network = Network()
-    network.fit(data + drawn, ROUNDS - LAST)
-    best, _ = Scorer(network).scores([" ".join(w) for w in windows])
+    network.fit(first + drawn, ROUNDS - LAST)
+    scorer = Scorer(network)
+    _, at = scorer.scores([" ".join(w) for w, _ in data])
+    data = [x for i, (w, c) in enumerate(data) for x in (sample_windows(w, c) if c < 0 or len(w) <= WINDOW else [(w[at[i, c] : at[i, c] + WINDOW], c)])]
+    best, _ = scorer.scores([" ".join(w) for w in windows])
     hard = [(windows[i], -1) for i in np.argsort(-best.max(1))[: ORDINARY // 3] if best[i].max() > 0.01]
     network.fit(data + drawn[: ORDINARY // 2] + hard * 2, LAST, 0.5)
     return network
@@ -559,8 +570,8 @@ def trained(labels: DataFrame, documents: DataFrame, sober: DataFrame | None = N
     hateful = [re.findall(r"(?<!^)(?<![.!?] )\b[A-Z][a-z]{3,}", r["sample_text"]) for r in rows if r["category"] == "hateful"]
     groups = sorted({w for words in hateful for w in words if w.lower() not in other and sum(w in ws for ws in hateful) >= 2})
     index = {c: i for i, c in enumerate(CATEGORIES)}
-    data = [(words_of(r["sample_text"])[:WINDOW], index.get(r["category"], -1)) for r in rows] * 3
-    data += [(words_of(t)[:WINDOW], index.get(c, -1)) for t, c in supplement(groups)]
+    data = [(words_of(r["sample_text"]), index.get(r["category"], -1)) for r in rows] * 3
+    data += [(words_of(t), index.get(c, -1)) for t, c in supplement(groups)]
     network = learned(data, [r["text"] for r in texts], groups, calm, counted)
     _MODELS[key] = network
     return network
