@@ -74,59 +74,66 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(n.encode()) % WIDTH for n in names]
 
 
-# The labelled table: sentences as they stand in registers, with marked slots, and fillers
-# of each slot. Invented; digits are placeholders that are made alike before use.
-_STEMS = "Anbu Arul Bala Chezhi Deva Ezhil Guna Ila Jeya Kathir Kaviya Kumara Magizh Malar Muthu Naga Nedun Nila Oviya Paara Perum Ponni Raghu Sangu Selva Semba Thamizh Thiru Udaya Vada Velu Vetri Vinai Yazhi".split()
-_ENDS = "devi kodi kumar mani maran mathi nathan pandi rani rasan samy selvi valli vel".split()
-_TAMIL_NAMES = "ரகுகொடி தேவமணி அருள்சாமி செழிராசன் முரசுவள்ளி வினைபாண்டி சுந்தரமணி குணவேல் யாழிசெல்வி அமுதசாமி கதிர்செல்வி பெரும்மதி பூங்கவள்ளி மலர்நாதன் இறையமாறன் எழில்ராணி".split()
-_FOREIGN = ["Hélène Ardouin", "José Tavarin", "Cécile Montbrai", "Ângela Sorvall", "François Delmiré", "Angelô Pereiral"]
-_ORG_FIRST = ["Sangumuga", "Kuringi", "Palai Hills", "Aazhi Coast", "Porunai", "Marutham Plains", "Thaazhai", "Kondal Ridge", "Veliyur", "Mullai Forest", "Neithal", "Ponnivala", "Kaarmugil", "Vanjikadu"]
-_ORG_TRADE = ["Merchants", "Traders", "Mutual", "Rural", "Agricultural", "Weavers", "Urban", "Coastal"]
-_ORG_KIND = ["Housing Finance Limited", "Savings Bank Limited", "Foundations Private Limited", "Builders Pvt Ltd", "Housing Finance Ltd", "Cooperative Bank Limited", "Development Corporation", "Dev. Corpn", "Co-op Bank Ltd", "Builders Private Limited", "Savings Bank Ltd"]
-_PLACES = "Puricheri Dailaankuppam Soonsaarkudi Gaimyelkudi Mengaanmangalam Yakakudi Perlethurai Rumdaipuram Sedompettai Rairkalpalayam Gunlaanallur Vardoonpakkam Sainte-Élande Port-Hérault".split()
-_COURTS = ["Vagaarzho", "Roorpaana", "Sendaakil", "Reldalmaa", "Mekoyoo", "Keryoothom", "Choommunni"]
-_STREETS = ["Temple Car", "Tank Bund", "Salt Pan", "Canal Bank", "Weavers Row", "Well Lane", "Second Cross", "Third Main", "Old Mill", "Mango Grove", "Potters", "Banyan"]
+# The labelled table: sentences of a general kind with marked slots, and fillers of each slot.
+# Neither the sentences nor the names, places and firms are those of the tables this is run on;
+# digits are placeholders that are made alike before use.
+_STEMS = "Ramesh Suresh Karthik Ganesh Murugan Kannan Shankar Prakash Mohan Gopal Hari Krishna Mahesh Venkat Bhaskar Dinesh Lakshmi Meena Priya Anitha Revathi Kamala Indira Latha Nirmala Padma Radha Sarala Usha Chitra Geetha Saroja Balu Jagan".split()
+_ENDS = "an am esh appan ammal raj babu lal nayagam chandran lingam vathi priya achari das prasad".split()
+_TAMIL_NAMES = "முருகன் லட்சுமி கார்த்திக் ராஜேந்திரன் மீனாட்சி சரவணன் கண்ணன் விஜயா ரமேஷ் கணேசன் சங்கர் கமலா பாலாஜி சீனிவாசன் கோமதி சுப்பிரமணியன்".split()
+_FOREIGN = ["Marie Dubois", "João Almeida", "Chloé Lambert", "Émile Rochat", "André Figueira", "Inês Carvalho"]
+_ORG_FIRST = ["Everest", "Lotus Valley", "Sunrise", "Blue Hill", "Garuda", "Oakfield", "Nilgai", "Seven Stars", "Heron Bay", "Pioneer", "Crescent", "Peacock Plains", "Orchid", "Granite City"]
+_ORG_TRADE = ["Farmers", "Teachers", "General", "National", "Industrial", "Handloom", "Central", "Peoples"]
+_ORG_KIND = ["Housing Finance Limited", "Savings Bank Limited", "Foundations Private Limited", "Builders Pvt Ltd", "Finance Ltd", "Cooperative Bank Limited", "Development Corporation", "Dev. Corpn", "Co-op Bank Ltd", "Builders Private Limited", "Bank Ltd"]
+_PLACES = "Ottapalli Karaiyur Velampatti Northwick Manjapet Tirukavur Alagarpuri Kizhamedu Saint-Aubin Pont-Évrard Melpadi Thottiyam Arasankulam Elavur".split()
+_COURTS = ["Karaiyur", "Ottapalli", "Northwick", "Melpadi", "Tirukavur", "Elavur", "Manjapet"]
+_SYLLABLES = "ka ki ku ke ko ga gu cha chi sa si su ta ti tu tha thi thu da di du na ni nu pa pi pu ba bi bu ma mi mu ya yu ra ri ru la li lu va vi zha zhi ja je".split()
+_STREETS = ["River Bank", "Mill Bank", "Gandhi", "Station", "Lake View", "Market", "Palace", "Hospital", "First Link", "Fourth", "New Bridge", "Tamarind", "Smiths", "Lotus"]
 _SENTENCES = [
-    "Settlement deed 0000/0000 in favour of {NAME} reserves a life interest for the settlor {NAME}.",
-    "Document 0000/0000 was presented by {NAME} in favour of {NAME} on 00-Jul-0000 for a consideration of Rs. 00,00,000/-.",
-    "Document 000/0000 came to be presented by {NAME} to the benefit of {NAME} on 00/00/0000 for a consideration of Rs. 0,00,000/-.",
-    "Lease of the ground floor to {NAME} for 00 months from 00-Mar-0000 on a rent of Rs. 00,00,000/-.",
-    "Lease of the shop portion to {NAME} for 000 months from 00.00.0000 on a rent of Rs. 0,00,000/-.",
-    "The property in survey number 000/0A of {PLACE} village measures 0000 Sft and is bounded on the north by the land of {NAME}.",
-    "The property in survey number 000/00 of {PLACE} village has an extent of Quarter acre and is bounded on the west by the land of {NAME}. Previous document references 0000/0000 and 000/0000 were cited in the schedule, volume 00, page 000.",
-    "Mortgage executed by {NAME} to {ORG} for Rs. 00,00,000/-, document 0000/0000.",
-    "Deposit of title deeds executed by {NAME} to {ORG} for Rs. 0,00,000/-, registered as document 0000/0000.",
-    "Power of attorney 0000/0000 was given by {NAME} for sale of the plot in survey number 000/00A0.",
-    "Power of attorney 000/0000 was given by {NAME} for management of the plot in survey number 00/0B.",
-    "The loan of Rs. 00,00,000/- stands discharged by receipt 0000/0000 dated 00-Dec-0000. Copies were compared with the index volume and found correct on 00-Nov-0000.",
-    "CERTIFICATE OF ENCUMBRANCE ON PROPERTY The search of Book 0 and the indexes relating to it has been made for the period from 00-Feb-0000 to 00/00/0000.",
-    "Stamp duty has been paid on the market value of Rs. 00,00,000/- fixed by the registering officer. Fee for search of 000 years was paid under challan dated 00-Apr-0000.",
-    "Except the acts and encumbrances noted above, no other transaction affecting the said property has been found in the registers of this office.",
-    "The boundaries given are: on the east a street, on the south survey number 000/00A. The schedule mentions a vacant site with channel rights on the west side and a scheme road of 00 feet.",
-    "REGISTRATION DEPARTMENT A0000000000 Page 0 of 0 The certificate does not cover documents pending indexing on the date of the search, nor acts not requiring registration.",
-    "Certificate No. C/00000000/0000 | Search of Encumbrances EC-00-000000 - Statement of Encumbrance Office of the Sub Registrar :: C/00000000/0000",
-    "The office takes no responsibility for errors in the description of the property furnished by the applicant, whose requisition was received on 00-Aug-0000.",
-    "Identity number masked as XXXX XXXX 0000. Fee head 0000-00-000-0000. Bank challan reference CH000000 dated 00-Oct-0000. Site of 000 m² – sketch enclosed.",
-    "Note – the applicant’s copy bears ₹ 00 court fee. “Satisfied” endorsement seen on the margin. Hôtel Côte Blanche ruled out of the schedule. Extent corrected to 0½ acres – see order.",
-    "Fee head 0000-00-000-0000. Area 000 m² – verified. Clerk’s note: “compared”. Sheet No: 0 Pg. 00 [0] 0 / 0 - 0 -",
-    "ஆவண எண் 0000/0000 மூலம் {NAME} அவர்களுக்கு Rs. 00,00,000/- தொகைக்கு கிரையம் செய்யப்பட்டது.",
-    "{NAME} அவர்களிடமிருந்து {NAME} அவர்களுக்கு விடுதலைப் பத்திரம் 0000/0000 எழுதிக் கொடுக்கப்பட்டது.",
-    "மேற்கண்ட சொத்தின் மீது வேறு வில்லங்கம் எதுவும் இல்லை. கடன் தொகை முழுவதும் செலுத்தப்பட்டு ரசீது எண் 0000/0000 பதிவு செய்யப்பட்டது.",
-    "டைலான்குப்பம் கிராமம் சர்வே எண் 000/0A தொடர்பான பதிவுகள் 00.00.0000 முதல் 00-Jul-0000 வரை தேடப்பட்டன. தேடுதல் கட்டணம் Rs. 00,00,000/- செலுத்தப்பட்டு 00-Dec-0000 அன்று சான்று வழங்கப்பட்டது.",
-    "சொத்தின் வடக்கு எல்லையில் பொதுப்பாதை அமைந்துள்ளது. மேற்கண்ட விவரம் சரியானது. பக்கம் 0",
-    "The applicant resides at {ADDRESS}.",
-    "Address for service: {ADDRESS}",
-    "{ADDRESS} is given as the residence.",
-    "WhatsApp {PHONE}",
-    "Phone {PHONE}.",
-    "Mob: {PHONE}",
-    "May be called on {PHONE} between ten and five.",
-    "Contact: {EMAIL}",
-    "Copy to be sent to {EMAIL}.",
-    "The applicant wrote from {EMAIL} about the delay.",
-    "Proof of identity: {IDNUM}",
-    "Identity proof {IDNUM} verified.",
-    "Aadhaar/PAN of the presentant {IDNUM}",
+    "A gift was made by {NAME} to {NAME} under deed 0000/0000, the donor keeping the house for life.",
+    "On 00-May-0000 the sale deed 000/0000 was lodged by {NAME}, who sold to {NAME} at a price of Rs. 00,00,000/-.",
+    "Deed 0000/0000 was lodged by {NAME} in favour of {NAME} on 00/00/0000 for Rs. 0,00,000/- in all.",
+    "Rented to {NAME} for 00 months with effect from 00.00.0000, the monthly rent being Rs. 00,000/-.",
+    "The upper storey is let to {NAME} from 00-Jun-0000 at Rs. 0,00,000/- a year.",
+    "Plot number 000/0B at {PLACE} village, 0000 Sq.Ft in size, has to its north the field of {NAME}.",
+    "Half an acre in survey number 000/00 of {PLACE}, having on the east the land of {NAME}. Earlier deeds 000/0000 and 0000/0000 are recited there, volume 000, page 00.",
+    "The borrower {NAME} charged the site to {ORG} for Rs. 00,00,000/-, see entry 0000/0000.",
+    "Title papers were handed by {NAME} to {ORG} against a loan of Rs. 0,00,000/-, see entry 000/0000.",
+    "An agent was appointed by {NAME} under power 0000/0000 for dealing with survey number 00/0A0.",
+    "Power 000/0000 given by {NAME} allows the agent to let the plot.",
+    "The life interest of the settlor {NAME} ends with the survivor.",
+    "The amount of Rs. 00,00,000/- was repaid, receipt 000/0000 of 00-Oct-0000. The volume was compared with its index on 00-Jan-0000.",
+    "EXTRACT OF ENTRIES The indexes of Book 0 were searched from 00-Apr-0000 to 00/00/0000.",
+    "Duty was paid on the value of Rs. 00,00,000/- fixed by the officer. The search fee for 00 years stands credited by challan of 00-Aug-0000.",
+    "No further act or encumbrance was found in the books of this office, except as stated in this paper.",
+    "To the east lies a tank, on the west survey number 000/00B. The schedule speaks of a vacant house site with a right of way on the south side and a road of 00 feet.",
+    "DEPARTMENT OF REGISTRATION B0000000 Sheet 0 of 0 Deeds still waiting to be indexed are not part of it, nor acts that need no registration.",
+    "Certificate C/0000/0000 | Register Search RS-00-0000 - List of Entries Sub Registrar's Office :: C/0000/0000",
+    "This office is not answerable for a wrong description given by the applicant, whose form reached it on 00-Sep-0000.",
+    "Number masked as XXXX-XXXX-0000. Account head 0000-00-000-0000. Challan no CH000000 of 00-Feb-0000. Land of 000 m² – plan attached.",
+    "Remark – the copy carries ₹ 00 stamps. “Discharged” written in the margin. Café Bleu Rivage struck out of the list. Area altered to 0¼ acres – as ordered.",
+    "Account head 0000-00-000-0000. Site 00 m² – checked. Officer’s remark: “seen”. Sheet: 0 Pg. 00 [0] 0 / 0 - 0 -",
+    "Where needed the Registrar may refuse a copy. Both documents were seen by the Inspector. Volume 00 was rebound in the year 0000. Court fee was paid.",
+    "ஆவணம் 0000/0000 வழியாக {NAME} என்பவருக்கு Rs. 00,00,000/- மதிப்பில் விற்கப்பட்டது.",
+    "{NAME} என்பவரிடம் இருந்து {NAME} பெயருக்கு 0000/0000 எண் பத்திரம் மூலம் மாற்றப்பட்டது.",
+    "இந்தச் சொத்தில் வேறு பதிவுகள் இல்லை. கடன் அடைக்கப்பட்டு ரசீது 0000/0000 பதிவானது.",
+    "கரையூர் கிராமத்தின் சர்வே எண் 000/0B பற்றிய புத்தகங்கள் 00.00.0000 வரை பார்க்கப்பட்டன. கட்டணம் Rs. 0,000/- பெறப்பட்டது.",
+    "தெற்கில் பொதுச்சாலை உள்ளது. விவரங்கள் ஒப்பிடப்பட்டன. தாள் 0",
+    "He lives at {ADDRESS}.",
+    "Letters may go to {ADDRESS}",
+    "{ADDRESS} is the home address on file.",
+    "WhatsApp number {PHONE}",
+    "Tel {PHONE}.",
+    "Mobile: {PHONE}",
+    "Ring {PHONE} in the forenoon.",
+    "Write to: {EMAIL}",
+    "A scan goes to {EMAIL}.",
+    "A mail came from {EMAIL} last week.",
+    "The complaint sent by {EMAIL} about it is filed.",
+    "Please answer {EMAIL} within a week. Fee of Rs. 000/- paid.",
+    "Reach the family at {ADDRESS}. The plan was drawn in the year 0000.",
+    "Identity card: {IDNUM}",
+    "Card {IDNUM} was shown.",
+    "PAN or Aadhaar of the party {IDNUM}",
     "0. {NAME}",
     "0. {NAME} 0. {NAME}",
     "{NAME}",
@@ -134,45 +141,22 @@ _SENTENCES = [
     "0. {BARE}",
     "{BARE}, {PHONE}",
     "{BARE}, {IDNUM}",
-    "{BARE}, residing at {ADDRESS}",
-    "0. {NAME}, r/o {ADDRESS}, {IDNUM}",
-    "0. {NAME} Ph {PHONE}, {EMAIL}",
-    "0. {NAME}, {IDNUM}, e-mail {EMAIL} 0. {NAME}",
-    "0. {NAME} <{EMAIL}>, {IDNUM}",
-    "0. {NAME} <{EMAIL}>, Cell {PHONE}",
-    "0. {NAME} ID {IDNUM}, Cell {PHONE}",
-    "0. {NAME}, Aadhaar {IDNUM}, residing at {ADDRESS}",
-    "0. {NAME} (M) {PHONE} <{EMAIL}> 0. {NAME}",
+    "{BARE}, living at {ADDRESS}",
     "0. {ORG}",
     "{ORG}",
     "0. {NAME} 0. {ORG} 0. {NAME}",
     "0. {ORG} 0. {NAME}",
-    "0. {NAME}, {EMAIL}",
-    "0. {NAME}, e-mail {EMAIL}",
-    "0. {NAME} <{EMAIL}>",
-    "0. {NAME} ID {IDNUM}",
-    "0. {NAME}, Aadhaar {IDNUM} 0. {NAME}",
-    "0. {NAME}, PAN/UID {IDNUM}, {EMAIL}",
-    "0. {NAME}, {IDNUM}",
-    "{NAME}, Cell {PHONE}",
-    "0. {NAME} Ph {PHONE}",
-    "0. {NAME} (M) {PHONE} 0. {NAME}",
-    "0. {NAME}, {PHONE}",
-    "0. {NAME}, residing at {ADDRESS}",
-    "0. {NAME}, r/o {ADDRESS}",
-    "0. {NAME}, {ADDRESS} 0. {NAME}",
-    "0. {NAME}, {ADDRESS}, {EMAIL}",
-    "0. {ORG}, ref 0000/0000",
-    "0. {ORG}, ID XXXX XXXX 0000",
-    "0. {ORG}, A/c of volume 0000",
-    "0. {NAME}, ref 0000/0000",
-    "0. {NAME}, A/c of volume 0000",
-    "{NAME}, ID XXXX XXXX 0000",
-    "0. {NAME} – vendor",
-    "0. {NAME} … and heirs",
-    "0. {NAME} “First Party”",
-    "0. {ORG} “First Party”",
-    "0. {ORG} – ½ share",
+    "0. {ORG}, loan 0000/0000",
+    "0. {ORG}, no XXXX XXXX 0000",
+    "0. {ORG}, volume 0000",
+    "0. {NAME}, loan 0000/0000",
+    "0. {NAME}, volume 0000",
+    "{NAME}, no XXXX XXXX 0000",
+    "0. {NAME} – buyer",
+    "0. {NAME} … and others",
+    "0. {NAME} “Second Party”",
+    "0. {ORG} “Second Party”",
+    "0. {ORG} – ¼ share",
 ]
 
 
@@ -182,7 +166,17 @@ _EXTRAS = [", {EMAIL}", ", e-mail {EMAIL}", " <{EMAIL}>", ", {PHONE}", " Ph {PHO
 
 def _filled(slot: str, random: np.random.Generator) -> str:
     pick = lambda xs: xs[int(random.integers(len(xs)))]
-    name = lambda: pick(_STEMS) + pick(_ENDS)
+
+
+    def name() -> str:
+        """A listed name, or one of random syllables, so that no list of names is learnt."""
+        if random.random() < 0.4:
+            return pick(_STEMS) + pick(_ENDS)
+        made = "".join(pick(_SYLLABLES) for _ in range(int(random.integers(2, 5)))) + pick(["", "", "n", "m", "l", "r"])
+        if random.random() < 0.06:
+            made = made.replace(pick("aeiou"), pick("éèêâôîàç"), 1)
+        return made.capitalize()
+
     letter = lambda: pick("ABCDEGIJKMNOPRSTUVY")
     if slot == "NAME":
         kind = int(random.integers(17))
@@ -192,7 +186,7 @@ def _filled(slot: str, random: np.random.Generator) -> str:
     if slot == "BARE":
         return pick([name(), name(), pick(_STEMS) + " " + letter(), f"{letter()}.{name()}", f"{pick('சமகரவநபதஇஎ')}. {pick(_TAMIL_NAMES)}"])
     if slot == "ORG":
-        first, trade, last = pick(_ORG_FIRST), pick(_ORG_TRADE), pick(_ORG_KIND)
+        first, trade, last = pick(_ORG_FIRST) if random.random() < 0.3 else name(), pick(_ORG_TRADE) if random.random() < 0.7 else name(), pick(_ORG_KIND)
         short = "".join(w[0] for w in f"{first} {trade}".split()) + pick(["S Bank", "C Bank", "HF Ltd", "B Ltd", "F Ltd", "DC Corpn"])
         at = int(random.integers(1, len(first) - 1))
         return [f"{first} {trade} {last}", f"{first} {trade} {last}", f"{first[:at] + first[at + 1 :]} {trade} {last}", f"M/s. {first} {trade} {last}", f"The {first} {trade} {last}, {pick(['Main', 'Bazaar', 'Tank Road'])} Branch", f"{trade} {last}, {first}", f"{first} {trade} {last}".upper(), short, f"District Court, {pick(_COURTS)}"][int(random.integers(9))]
@@ -207,7 +201,7 @@ def _filled(slot: str, random: np.random.Generator) -> str:
         letters = "".join("ABCDEFGHJKLMNPRSTUVWXYZ"[int(i)] for i in random.integers(23, size=6))
         return ["0000-0000-0000", "0000 0000 0000", "000000000000", f"{letters[:3]}0000000", f"{letters[:5]}0000{letters[5]}", f"{letters[:4]}0000{letters[5]}"][int(random.integers(6))]
     local = [name().lower(), f"{pick(_STEMS).lower()}.{pick(_ENDS)}00", f"{pick(_STEMS).lower()}_{pick(_ENDS)}", name().lower() + "00"][int(random.integers(4))]
-    host = pick(["post.example.org", "thapal.example", "mail.example.com", "letters.invalid"])
+    host = pick(["box.example.net", "office.example", "news.example.edu", "home.invalid"])
     return [f"{local}@{host}", f"{local}@{host}".upper(), f"{local} (at) {host}"][min(2, int(random.integers(6)) // 2)]
 
 
@@ -449,8 +443,14 @@ def spans(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
     for a, b, label, _ in out:
         kind, part = LABELS[label], text[a:b]
         digits = sum(c.isdigit() for c in part)
-        if kind != "EMAIL" and _MAIL.search(part):
-            kind = "EMAIL" if len(part.split()) == 1 else kind
+        if kind != "EMAIL":
+            mails = [(a + m.start(), a + len(part[: m.end()].rstrip(".,;:<>")), "EMAIL") for m in _MAIL.finditer(part)]
+            checked += mails
+            if mails and len(part.split()) == len(mails):
+                continue
+            if mails:  # a mail address inside a longer mark: what stands before it keeps its own
+                b = mails[0][0]
+                part = text[a:b]
         if kind == "EMAIL" and not ("@" in part or "(at)" in part.lower() or "[at]" in part.lower()):
             continue
         if kind == "PHONE" and not 8 <= digits <= 14:
@@ -507,7 +507,8 @@ def found_types(texts: DataFrame) -> DataFrame:
 
 
 def redacted(texts: DataFrame) -> DataFrame:
-    """``src, rec_key, text`` with typed placeholders; the rest of the text is unchanged."""
+    """``src, rec_key, text`` with typed placeholders; the rest of the text is unchanged, but a text
+    decoded wrongly comes out in its repaired form (problem 7), as it is read."""
     weights = texts.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
