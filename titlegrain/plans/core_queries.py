@@ -786,7 +786,7 @@ def word_hits(spark, d):
     return predicates.word_hits(table(spark, d, "documents"), "doc_id", "text", "survey")
 
 
-@query(f"WITH {_PROFILES} SELECT doc_id, party_key, party, owner_group FROM groups WHERE owner_group = 'current' AND contains(lower(concat_ws(' ', doc_id, party)), 'mani')")
+@query(f"WITH {_PROFILES} SELECT doc_id, party_key, party, owner_group, institution FROM groups WHERE owner_group = 'current' AND contains(lower(concat_ws(' ', doc_id, party)), 'mani')")
 def owner_directory(spark, d):
     groups = register.owner_groups(register.party_profiles(register.parties(_reg(spark, d))))
     return predicates.directory(groups, "mani", ["doc_id", "party"], "owner_group", "current")

@@ -20,7 +20,9 @@ def _area(c: str) -> str:
     t = f"replace(lower({c}), ',', '')"
     number = lambda unit: rf"try_cast(nullif(regexp_extract({t}, '([0-9]+(?:\.[0-9]+)?)\s*(?:{unit})', 1), '') AS DOUBLE)"
     bare = rf"try_cast(nullif(regexp_extract(trim({t}), '^([0-9]+(?:\.[0-9]+)?)$', 1), '') AS DOUBLE)"
-    return rf"round(coalesce({number('sq\.?\s*ft|sq\.?\s*feet|சதுர\s*அடி')}, {number('sq\.?\s*m|சதுர\s*மீட்டர்')} * 10.7639::DOUBLE, {number('grounds?|கிரவுண்ட்')} * 2400, {number('acres?|ஏக்கர்')} * 43560, {number('cents?|சென்ட்')} * 435.6::DOUBLE, {bare}), 2)"
+    units = (r"sq\.?\s*ft|sq\.?\s*feet|சதுர\s*அடி", r"sq\.?\s*m|சதுர\s*மீட்டர்", "grounds?|கிரவுண்ட்", "acres?|ஏக்கர்", "cents?|சென்ட்")
+    sqft, sqm, ground, acre, cent = map(number, units)
+    return f"round(coalesce({sqft}, {sqm} * 10.7639::DOUBLE, {ground} * 2400, {acre} * 43560, {cent} * 435.6::DOUBLE, {bare}), 2)"
 
 
 def _named(name_words: tuple[str, ...], whole: str, side: str) -> str:
