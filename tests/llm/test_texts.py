@@ -89,6 +89,43 @@ def test_stretches_equal_whole_decoding():
         assert G.noise_of(text, decoder, 2) == noise | decoder.decode(G.stream(lines))[1]
 
 
+@pytest.mark.parametrize("most", [0, 1, 8, 30])
+def test_rarer_words_are_joined(spark, monkeypatch, most):
+    # Names counted 6 times each are rarer than the sentences' words; all of their readings stay.
+    names = ["Kurinjipakkam", "Vennilavu", "Marudhampet", "Sirukadal", "Poongulam", "Nedunchalai"]
+    odd = ["The plot in Kur1njipakkam is bounded", "The plot in Vennil-\navu is bounded on", "The plot of Sirukadalproperty and Poon gulam", "The Marudharnpet Nedunch@lai office", "The qzqzq in the office"]
+    rows = [("ec", f"g{i}", "EC-7", 1, f"{CLEAN[i % 2]} {names[i % 6]} lies there.") for i in range(36)] + [("ec", f"o{i}", "EC-8", 2, t) for i, t in enumerate(odd)] + [("ec", None, "EC-9", None, odd[0])]
+    rows += [("ec", k, "EC-1", 2, t) for k, (t, _) in NOISY.items() if t] + rows[:3]
+    df = spark.createDataFrame(rows, "src string, rec_key string, doc_id string, page_number int, text string")
+    found, fixed = (sorted(map(str, f(df).collect())) for f in (G.noise, G.repair))
+    assert {r["rec_key"] for r in G.noise(df).collect() if r["noise"] == "misread"} >= {"o0", "o3", None}
+    monkeypatch.setattr(G, "LEXICON", most)
+    words = G.word_counts(df)
+    known = G.lexicon(words)
+    assert len(known.counts) <= most and known.total == sum(r["n"] for r in words.collect()) and all(r["word"] in known.counts or r["word"] in known.rare for r in words.collect())
+    assert sorted(map(str, G.noise(df).collect())) == found and sorted(map(str, G.repair(df).collect())) == fixed
+
+
+def test_long_forms(spark):
+    long, dense = "thiruvananthapurampanchayatcommitteeofficebuilding", "committeeforbirthcertificatecopy"
+    decoder = G.Decoder({long: 50, dense: 50})
+    assert decoder.read(long) == (long, 0.6931471805599453, 0)
+    assert decoder.read(long.replace("a", "@", 2).replace("building", "bui1ding"))[::2] == (long, 3)
+    assert decoder.read(long.replace("com", "corn"))[::2] == (long, 1) and decoder.read(long.replace("a", "@", 4))[2] == -1
+    assert decoder.read(dense.replace("e", "c", 3))[::2] == (dense, 3)  # many places, three confusions
+    assert decoder.read("m" * 5000)[2] == -1
+    df = spark.createDataFrame([(f"a {long} b",)] * 6, "text string")
+    assert G.lexicon(G.word_counts(df)).counts[long] == 6
+
+
+def test_long_forms_as_short_ones(monkeypatch):
+    counts = {"modern": 50, "modem": 300, "return": 40, "retum": 90, "lined": 9, "oil": 60}
+    forms = ["m0dern", "modern", "rnodern", "rnodem", "retu(n", "1ined", "lincd", "clear", "0i1", "0|1", "2oil", "vv", "cliri1"]
+    short = [G.Decoder(counts).read(f) for f in forms]
+    monkeypatch.setattr(G, "LONG", 0)
+    assert [G.Decoder(counts).read(f) for f in forms] == short
+
+
 def test_long_noisy_text():
     decoder = G.Decoder({w: 50 for t in CLEAN for w in t.lower().strip(".").split()})
     text = "\n".join("The pr0perty qq zz prop-\nerty" for _ in range(20_000))

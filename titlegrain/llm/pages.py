@@ -8,28 +8,39 @@ word split by a blank. Paragraph boundaries are chosen by a second dynamic progr
 the line ends. The lexicon is counted over the whole corpus: a form that reads, through
 the confusions, as a far more frequent word is a misreading and no word of its own.
 
-Plan: one pass counts words (partial counts in the workers, one small shuffle), the
-lexicon (``LEXICON`` most frequent words at most: its proven bound) is broadcast, and a
-second pass decodes every record where it lies, without a shuffle. Decisions on word
+Plan: one pass counts words (partial counts in the workers, one small shuffle). The frequent
+words of the lexicon (about ``LEXICON``) are broadcast, of the others only a sieve that tells
+which words they may be, and a second pass decodes every record where it lies, without a
+shuffle. A record whose decoding may depend on words of the sieve is kept, these words are joined
+with the lexicon's, and it is decoded again: no word of the lexicon is left out. Decisions on word
 forms are cached, so that the lattice is built only where a form is not plainly known.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words kept, least count of a word, how much more frequent than its misreading a word is.
+from titlegrain.session import cut
+
+#: Most words broadcast (the others are joined), least count of a word, how much more frequent than its misreading a word is.
 LEXICON, KNOWN, TIMES = 200_000, 3, 20
+#: Letters from which on a form is read along the words of that length, most confusions in one form.
+LONG, MOST = 40, 3
+#: Bits of the sieve: for each word, and at most (16 MB); bits of one row of it.
+SIEVE, SIEVE_MOST, SIEVE_ROW = 16, 1 << 27, 1 << 15
 #: Costs in nats: one confusion, one hyphen, one split or join, an unknown word and each of its letters.
 CONFUSION, BREAK, JOIN, UNKNOWN, LETTER = 4.0, 2.0, 7.0, 12.0, 1.0
 
@@ -140,28 +151,72 @@ def stream(lines: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
+class Sieve:
+    """Which words may stand in a table: each of its words does, of others a few."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = bits, 8 * len(bits) - 1
+
+    def __contains__(self, word: str) -> bool:
+        digits = hashlib.md5(word.encode()).hexdigest()
+        for i in (0, 7, 14, 21):
+            at = int(digits[i : i + 7], 16) & self.mask
+            if not self.bits[at >> 3] >> (at & 7) & 1:
+                return False
+        return True
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Counts of all words counted ``least`` times at least, and of long ones; a sieve of the rarer words, if there are any; the sum of all counts."""
+
+    counts: dict[str, int]
+    total: int
+    least: int = KNOWN
+    rare: Sieve | None = None
+
+
 class Decoder:
-    """The lexicon and the lattice."""
+    """The lexicon and the lattice.
+
+    Rarer words count as unknown at first; those on which the decoding may depend are gathered in
+    ``asked``. A form counted ``least`` times asks for none: a word it may be misread for is as frequent.
+    What is asked for covers what decoding with their counts asks for, since more known words
+    only leave fewer forms in doubt.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None, least: int = KNOWN, rare: Sieve | None = None):
+        self.counts, self.least, self.rare = counts, least, rare
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.cache: dict[str, tuple[str, float, int]] = {}
+        self.sure: set[str] = set()  # tokens plainly known, edges and all
+        self.open: dict[str, list[str]] = {}  # rarer words that a form of the cache may depend on
+        self.asked: set[str] = set()
+        self.long = sorted(w for w in counts if len(w) >= LONG - MOST and w.isalpha())
 
     def _readings(self, form: str) -> Iterator[tuple[str, int]]:
-        """Words the form may have been, through at most three confusions."""
+        """Words of letters the form may have been, through at most three confusions."""
+        odd = [i for i, c in enumerate(form) if not c.isalpha()]
+        if len(odd) > MOST or any(form[i] not in CONFUSIONS for i in odd):
+            return  # a sign stays that is no letter
         places = []
         for i in range(len(form)):
             for width in (1, 2):
                 seen = form[i : i + width]
                 if len(seen) == width:
                     places += [(i, width, true) for true in CONFUSIONS.get(seen, ())]
-        odd = sum(c in "01569(|@" for c in form)
-        for n in range(1, 4):
-            if len(places) > 14 and n > 2:
-                break
-            for chosen in itertools.combinations(places, n):
-                if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])) or sum(form[i] in "01569(|@" for i, w, _ in chosen if w == 1) < min(odd, n):
+        if len(form) >= LONG:
+            yield from self._long_readings(form, places)
+            return
+        signs, letters = [p for p in places if p[0] in odd], [p for p in places if p[0] not in odd]
+        for n in range(max(1, len(odd)), MOST + 1):
+            choices: Iterable[tuple] = itertools.combinations(letters, n - len(odd))
+            if odd:  # every sign is read as a letter; the order is that of the places
+                rest = list(choices)
+                order = {p: k for k, p in enumerate(places)}.__getitem__
+                choices = sorted((tuple(sorted(a + b, key=order)) for a in itertools.combinations(signs, len(odd)) for b in rest), key=lambda c: [*map(order, c)])
+            for chosen in choices:
+                if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
                     continue
                 out, at = [], 0
                 for i, width, true in chosen:
@@ -169,6 +224,31 @@ class Decoder:
                     at = i + width
                 yield "".join(out) + form[at:], n
 
+    def _long_readings(self, form: str, places: list[tuple[int, int, str]]) -> Iterator[tuple[str, int]]:
+        """The same for a long form, whose confusions are too many to try: only as far as a word begins so."""
+
+        def begins(start: str) -> bool:
+            k = bisect_left(self.long, start)
+            return k < len(self.long) and self.long[k].startswith(start)
+
+        todo = [("", 0, 0, 0)]
+        while todo:
+            done, at, first, n = todo.pop()
+            word = done + form[at:]
+            if n and word in self.counts and word.isalpha():
+                yield word, n
+            if n == MOST:
+                continue
+            for k in range(first, len(places)):
+                i, width, true = places[k]
+                if i < at:
+                    continue
+                start = done + form[at:i]
+                if not begins(start):
+                    break
+                if begins(start + true):
+                    todo.append((start + true, i + width, k + 1, n + 1))
+
     def read(self, token: str) -> tuple[str, float, int]:
         """(word, cost, confusions) of one token without its edges; -1 confusions: unknown."""
         form = token.lower()
@@ -176,25 +256,43 @@ class Decoder:
         if found is None:
             if len(self.cache) > 400_000:
                 self.cache.clear()
+                self.open.clear()
             found = self.cache[form] = self._read(form)
+        if self.open and form in self.open:
+            self.asked.update(self.open[form])
         return found
 
     def _read(self, form: str) -> tuple[str, float, int]:
         own = self.counts.get(form, 0)
+        rare = self.rare if own < self.least else None
+        asked = [form] if rare and not own and form in rare else []
         best = (form, UNKNOWN + LETTER * len(form), -1)
         if own >= KNOWN or (own and not _WORD.match(form)):
             best = (form, -math.log(own / self.total), 0)
         letters = sum(c.isalpha() for c in form)
-        if _WORD.match(form) and letters >= 1 and len(form) >= 2 and 2 * letters >= len(form) and len(form) < 40:
+        if _WORD.match(form) and letters >= 1 and len(form) >= 2 and 2 * letters >= len(form):
             symbol = not form.isalpha()
             for word, n in self._readings(form):
                 seen = self.counts.get(word, 0)
-                if seen >= KNOWN and word.isalpha() and seen >= (max(1, own) if symbol else TIMES * max(1, own) if own >= KNOWN else 5):
+                if not seen and rare and word in rare:
+                    asked.append(word)
+                if seen >= KNOWN and seen >= (max(1, own) if symbol else TIMES * max(1, own) if own >= KNOWN else 5):
                     cost = -math.log(seen / self.total) + CONFUSION * n
                     if best[2] <= 0 or cost < best[1]:
                         best = (word, cost, n)
+        if asked:
+            self.open[form] = asked
         return best
 
+    def _may_be_known(self, form: str) -> bool:
+        return form in self.counts or self.rare is not None and form in self.rare
+
+    def _count(self, word: str) -> int:
+        seen = self.counts.get(word, 0)
+        if not seen and self.rare and word in self.rare:
+            self.asked.add(word)
+        return seen
+
     def misread(self, token: str) -> bool:
         """Whether a token (edges cut) is a wrongly recognised word."""
         word, _, n = self.read(token)
@@ -209,7 +307,10 @@ class Decoder:
         word, cost, n = self.read(token)
         out = [([token if n <= 0 else word], cost, {"misread"} if self.misread(token) else set())]
         if n < 0 and token.isalpha() and len(token) >= 6:
+            form = token.lower()
             for i in range(3, len(token) - 2):
+                if not (self._may_be_known(form[:i]) and self._may_be_known(form[i:])):
+                    continue
                 (a, ca, na), (b, cb, nb) = self.read(token[:i]), self.read(token[i:])
                 if na == 0 and nb == 0:
                     out.append(([token[:i], token[i:]], ca + cb + JOIN, set()))
@@ -237,7 +338,7 @@ class Decoder:
                 offer(i + 1, cost + (0 if soft else BREAK), [(head + shown + tail, gap)], {"hyphen"} | ({"misread"} if self.misread(whole) else set()))
                 if not soft:
                     apart = self.read(left)[1] + self.read(right)[1]
-                    both = self.counts.get(f"{left}-{right}".lower(), 0)
+                    both = self._count(f"{left}-{right}".lower())
                     if both >= KNOWN:
                         apart = min(apart, -math.log(both / self.total))
                     offer(i + 1, apart + BREAK, [(token + rest, gap)], set())
@@ -268,13 +369,18 @@ class Decoder:
         return [w for part in reversed(parts) for w in part], noise
 
 
-def clean_tokens(text: str) -> Iterator[str]:
-    """Word forms for the lexicon: broken words are left out, bare edges, lower case."""
-    for token, _, rest in stream(split_lines(text)[0]):
-        if not rest:
-            form = core(token).lower()
-            if form:
-                yield form
+def clean_tokens(text: str) -> list[str]:
+    """Tokens for the lexicon: broken words are left out."""
+    return [token for token, _, rest in stream(split_lines(text)[0]) if not rest]
+
+
+def forms(tokens: Counter[str]) -> pd.DataFrame:
+    """``word, n`` of counted tokens: bare edges, lower case."""
+    counts: Counter[str] = Counter()
+    for token, n in tokens.items():
+        counts[core(token).lower()] += n
+    counts.pop("", None)
+    return pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
 
 def paragraphs(lines: list[str]) -> list[list[str]]:
@@ -339,17 +445,21 @@ def noise_of(text: str, decoder: Decoder, page_number: int | None = None, marks:
     that is broken or not plainly known; the path before it is certain."""
     lines, noise = split_lines(text, page_number, marks)
     tokens = stream(lines)
-    cache, counts = decoder.cache, decoder.counts
+    cache, sure = decoder.cache, decoder.sure
+    if len(sure) > 400_000:
+        sure.clear()
     doubtful = []
     for i, (token, _, rest) in enumerate(tokens):
         if rest:
             doubtful.append(i)
             continue
+        if token in sure:
+            continue
         form = core(token)
-        if form:
-            known = cache.get(form.lower()) or decoder.read(form)
-            if known[2] != 0:
-                doubtful.append(i)
+        if form and (cache.get(form.lower()) or decoder.read(form))[2] != 0:
+            doubtful.append(i)
+        else:
+            sure.add(token)
     # Stretches of doubtful tokens, each with one certain token on either side.
     stretches: list[list[int]] = []
     for i in doubtful:
@@ -433,8 +543,8 @@ def _standing_alone(texts: DataFrame, forms: dict[str, int]) -> frozenset[str]:
     return frozenset(r["form"] for r in seen if forms[r["form"]] >= EQUAL * r["n"])
 
 
-def lexicon(texts: DataFrame) -> dict[str, int]:
-    """Word counts over all texts: the ``LEXICON`` most frequent of at least ``KNOWN``."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` over all texts: every word of at least ``KNOWN``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
@@ -442,13 +552,84 @@ def lexicon(texts: DataFrame) -> dict[str, int]:
             for text in batch["text"]:
                 counts.update(clean_tokens(text))
             if len(counts) > 500_000:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                yield forms(counts)
                 counts.clear()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        yield forms(counts)
 
     words = texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.filter((F.col("n") >= KNOWN) & (F.length("word") < 40)).filter(F.col("word").rlike(r"[\p{L}]"))
-    return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    return words.filter(F.col("n") >= KNOWN).filter(F.col("word").rlike(r"[\p{L}]"))
+
+
+def lexicon(words: DataFrame) -> Lexicon:
+    """The lexicon of ``word_counts``. All words of one count are broadcast or none, so that what is
+    told from the frequent words alone is what all words tell; the counts of counts are few."""
+    total, many, rarer, least = 0, 0, 0, KNOWN
+    for n, alike in sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True):
+        total += n * alike
+        many += alike
+        if many > LEXICON:
+            least = max(least, n + 1)
+            rarer += alike
+    frequent = (F.col("n") >= least) | (F.length("word") >= LONG - MOST) & F.col("word").rlike("^[a-z]+$")
+    counts = {r["word"]: r["n"] for r in words.filter(frequent).collect()}
+    return Lexicon(counts, total, least, sieve(words.filter(F.col("n") < least), rarer) if rarer else None)
+
+
+def sieve(words: DataFrame, many: int) -> Sieve:
+    bits = min(SIEVE_MOST, max(SIEVE_ROW, 1 << (SIEVE * many - 1).bit_length()))
+    digits = F.md5(F.encode("word", "UTF-8"))
+    at = F.explode(F.array(*[F.conv(F.substring(digits, i, 7), 16, 10).cast("long") % bits for i in (1, 8, 15, 22)]))
+    rows = words.select(at.alias("at")).groupBy(F.floor(F.col("at") / SIEVE_ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("at") % SIEVE_ROW).alias("bits"))
+    whole = bytearray(bits // 8)
+    for r in rows.collect():
+        whole[r["row"] * SIEVE_ROW // 8 : (r["row"] + 1) * SIEVE_ROW // 8] = r["bits"]
+    return Sieve(bytes(whole))
+
+
+def _decoded(texts: DataFrame, rows: DataFrame, values: Callable[[str, Decoder, int | None, Marks], Iterable[str]]) -> DataFrame:
+    """``src, rec_key, value`` of all that ``values`` gives for the text of each of ``rows``; words and lines are counted over ``texts``."""
+    words = cut(word_counts(texts))
+    lex = lexicon(words)
+    known = texts.sparkSession.sparkContext.broadcast((lex, page_marks(texts)))
+    whole = lex.rare is None
+    number = lambda p: None if pd.isna(p) else int(p)
+    fields = ["src", "rec_key", "page_number", "text"]
+    told = "src string, rec_key string, value string"
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex, marks = known.value
+        decoder = Decoder(lex.counts, lex.total, lex.least, lex.rare)
+        ids = itertools.count(TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            done, kept = [], []
+            for src, key, page, text in zip(*(batch[c] for c in fields)):
+                found = values(text, decoder, number(page), marks)
+                if decoder.asked:
+                    kept.append((src, key, number(page), text, next(ids), sorted(decoder.asked)))
+                    decoder.asked.clear()
+                else:
+                    done += [(src, key, value) for value in found]
+            yield pd.DataFrame(done, columns=["src", "rec_key", "value"]) if whole else pd.DataFrame([(s, k, v, None, None, None, None) for s, k, v in done] + [(s, k, None, *more) for s, k, *more in kept], columns=["src", "rec_key", "value", "page_number", "text", "id", "words"]).astype({"page_number": "Int64", "id": "Int64"})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex, marks = known.value
+        counts = dict(lex.counts)
+        decoder = Decoder(counts, lex.total)
+        for batch in batches:
+            rarer = {w: n for words, ns in zip(batch["words"], batch["ns"]) if words is not None for w, n in zip(words, ns)}
+            counts.update(rarer)
+            done = [(src, key, value) for src, key, page, text in zip(*(batch[c] for c in fields)) for value in values(text, decoder, number(page), marks)]
+            for word in rarer.keys() - lex.counts.keys():
+                del counts[word]
+            yield pd.DataFrame(done, columns=["src", "rec_key", "value"])
+
+    rows = rows.select(fields)
+    if whole:
+        return rows.mapInPandas(first, told)
+    out = cut(rows.mapInPandas(first, told + ", page_number int, text string, id long, words array<string>"))
+    found = out.select("id", F.explode("words").alias("word")).join(words.filter(F.col("n") < lex.least), "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    kept = out.filter("id IS NOT NULL").drop("words").join(found, "id", "left").select(*fields, F.col("found.word").alias("words"), F.col("found.n").alias("ns"))
+    return out.filter("id IS NULL").select("src", "rec_key", "value").unionByName(kept.mapInPandas(again, told))
 
 
 def noise(texts: DataFrame) -> DataFrame:
@@ -457,31 +638,11 @@ def noise(texts: DataFrame) -> DataFrame:
     NULL and empty texts have none; repeated records count once; with no text at all the
     lexicon is empty and no row comes out. Texts of any length are decoded whole.
     """
-    known = texts.sparkSession.sparkContext.broadcast((lexicon(texts), page_marks(texts)))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, marks = known.value
-        decoder = Decoder(words)
-        for batch in batches:
-            rows = []
-            for src, key, page, text in zip(batch["src"], batch["rec_key"], batch["page_number"], batch["text"]):
-                for kind in noise_of(text, decoder, None if pd.isna(page) else int(page), marks):
-                    rows.append((src, key, kind))
-            yield pd.DataFrame(rows, columns=["src", "rec_key", "noise"])
-
-    return texts.select("src", "rec_key", "page_number", "text").mapInPandas(find, "src string, rec_key string, noise string").distinct()
+    return _decoded(texts, texts, noise_of).withColumnRenamed("value", "noise").distinct()
 
 
 def repair(texts: DataFrame) -> DataFrame:
     """``src, rec_key, text`` with the text in continuous readable paragraphs; a record delivered
     several times comes out once, with the text of one delivery (they are equal)."""
-    known = texts.sparkSession.sparkContext.broadcast((lexicon(texts), page_marks(texts)))
-
-    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, marks = known.value
-        decoder = Decoder(words)
-        for batch in batches:
-            batch["text"] = [repaired(t, decoder, None if pd.isna(p) else int(p), marks) for t, p in zip(batch["text"], batch["page_number"])]
-            yield batch[["src", "rec_key", "text"]]
-
-    return texts.select("src", "rec_key", "page_number", "text").distinct().mapInPandas(mend, "src string, rec_key string, text string")
+    rows = texts.select("src", "rec_key", "page_number", "text").distinct()
+    return _decoded(texts, rows, lambda text, *known: [repaired(text, *known)]).withColumnRenamed("value", "text")
