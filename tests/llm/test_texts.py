@@ -114,6 +114,9 @@ def test_long_forms(spark):
     assert decoder.read(long.replace("com", "corn"))[::2] == (long, 1) and decoder.read(long.replace("a", "@", 4))[2] == -1
     assert decoder.read(dense.replace("e", "c", 3))[::2] == (dense, 3)  # many places, three confusions
     assert decoder.read("m" * 5000)[2] == -1
+    seldom, meant = "thiruvananthapurarncommitteebuildings", "thiruvananthapuramcommitteebuildings"
+    first = G.Decoder({seldom: 3}, 10**6, 1000, {seldom, meant})  # the one is long enough to be broadcast, the other is not
+    assert first.read(seldom)[2] == -1 and first.asked == {seldom, meant}
     df = spark.createDataFrame([(f"a {long} b",)] * 6, "text string")
     assert G.lexicon(G.word_counts(df)).counts[long] == 6
 

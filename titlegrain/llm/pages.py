@@ -84,6 +84,7 @@ class Marks:
 
 
 _NUMBERS = re.compile(r"[0-9]+")
+_DIGIT = re.compile(r"\d")
 
 
 _GAP = re.compile(r"\s{2,}(?=\S+(?:\s\S+)*$)")  # the last gap wider than a blank
@@ -99,7 +100,7 @@ def _header(line: str, marks: Marks) -> bool:
 
 def _own_number(line: str, page: int | None, marks: Marks) -> bool:
     """Whether a line is the page's number: a usual or recurring form of one with the number of this page."""
-    if len(line) > 80 or not (PAGE_NUMBER.match(line) or form_of(line) in marks.numbers):
+    if len(line) > 80 or not _DIGIT.search(line) or not (PAGE_NUMBER.match(line) or marks.numbers and form_of(line) in marks.numbers):
         return False
     return page is None or page in map(int, _NUMBERS.findall(line))
 
@@ -190,6 +191,7 @@ class Decoder:
         self.total = max(1, sum(counts.values()) if total is None else total)
         self.cache: dict[str, tuple[str, float, int]] = {}
         self.sure: set[str] = set()  # tokens plainly known, edges and all
+        self.strange: set[str] = set()  # unknown ones that no word explains and that are not misread
         self.open: dict[str, list[str]] = {}  # rarer words that a form of the cache may depend on
         self.asked: set[str] = set()
         self.long = sorted(w for w in counts if len(w) >= LONG - MOST and w.isalpha())
@@ -265,6 +267,8 @@ class Decoder:
     def _read(self, form: str) -> tuple[str, float, int]:
         own = self.counts.get(form, 0)
         rare = self.rare if own < self.least else None
+        if rare and len(form) < LONG:
+            own = 0  # asked for, as are the words it may be misread for
         asked = [form] if rare and not own and form in rare else []
         best = (form, UNKNOWN + LETTER * len(form), -1)
         if own >= KNOWN or (own and not _WORD.match(form)):
@@ -442,33 +446,39 @@ def repaired(text: str, decoder: Decoder, page_number: int | None = None, marks:
 
 def noise_of(text: str, decoder: Decoder, page_number: int | None = None, marks: Marks = Marks()) -> set[str]:
     """The sorts of noise in one text. The lattice is decoded only from the first token on
-    that is broken or not plainly known; the path before it is certain."""
+    that is broken or not plainly known; the path before it is certain. Unknown tokens alone,
+    none broken and none misread, make no noise on any path."""
     lines, noise = split_lines(text, page_number, marks)
     tokens = stream(lines)
-    cache, sure = decoder.cache, decoder.sure
-    if len(sure) > 400_000:
+    cache, sure, strange = decoder.cache, decoder.sure, decoder.strange
+    if len(sure) + len(strange) > 400_000:
         sure.clear()
-    doubtful = []
-    for i, (token, _, rest) in enumerate(tokens):
-        if rest:
-            doubtful.append(i)
-            continue
-        if token in sure:
-            continue
-        form = core(token)
-        if form and (cache.get(form.lower()) or decoder.read(form))[2] != 0:
-            doubtful.append(i)
-        else:
-            sure.add(token)
+        strange.clear()
     # Stretches of doubtful tokens, each with one certain token on either side.
     stretches: list[list[int]] = []
-    for i in doubtful:
+    for i, (token, _, rest) in enumerate(tokens):
+        if not rest:
+            if token in sure:
+                continue
+            telling = token not in strange
+            if telling:
+                form = core(token)
+                if not form or (cache.get(form.lower()) or decoder.read(form))[2] == 0:
+                    sure.add(token)
+                    continue
+                telling = decoder.misread(form) or form.lower() in decoder.open
+                if not telling:
+                    strange.add(token)
+        else:
+            telling = True
         if stretches and i == stretches[-1][1] + 1:
             stretches[-1][1] = i
+            stretches[-1][2] |= telling
         else:
-            stretches.append([i, i])
-    for first, last in stretches:
-        noise |= decoder.decode(tokens[max(0, first - 1) : last + 2])[1]
+            stretches.append([i, i, telling])
+    for first, last, telling in stretches:
+        if telling:
+            noise |= decoder.decode(tokens[max(0, first - 1) : last + 2])[1]
     return noise
 
 
